@@ -67,7 +67,7 @@ def build_index(
         F.col(f"{cols.lon}1").alias("x1"),
         F.col(f"{cols.lat}1").alias("y1"),
         F.col(f"{cols.m_value}1").alias("m1"),
-    )
+    ).where("x0 is not null and y0 is not null and y1 is not null")
     # Grouping also by block keeps the partitioning of the segment step.
     block = F.shiftright("seq", BLOCK_BITS).alias("_block")
     # Distinct within a leaf and least at its middle, so both picks are one vertex.
@@ -92,8 +92,8 @@ def build_index(
             F.max("xmax").alias("xmax"),
             F.min("ymin").alias("ymin"),
             F.max("ymax").alias("ymax"),
-            F.first("vx").alias("vx"),
-            F.first("vy").alias("vy"),
+            F.min_by("vx", "node").alias("vx"),
+            F.min_by("vy", "node").alias("vy"),
         )
         levels.append(grouped.select("route", F.col("parent").alias("node"), "boxes"))
         boxes = grouped.withColumnRenamed("parent", "node").drop("boxes")
