@@ -1,50 +1,37 @@
-"""Point-to-segment and point-to-box arithmetic as column expressions."""
+"""Point-to-segment and point-to-box arithmetic as SQL expressions.
 
-from __future__ import annotations
+Arguments are SQL expressions too. A squared term is written with ``pow``
+because a product would name, and so evaluate, its argument twice.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def fraction_along(x: Column, y: Column, x0: Column, y0: Column, dx: Column, dy: Column) -> Column:
+def fraction_along(x: str, y: str, x0: str, y0: str, dx: str, dy: str) -> str:
     """Where the closest place lies between start (0) and end (1) of a segment."""
-    length2 = dx * dx + dy * dy
-    t = ((x - x0) * dx + (y - y0) * dy) / length2
-    return F.when(length2 == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+    length2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"(({x} - {x0}) * {dx} + ({y} - {y0}) * {dy}) / {length2}"
+    return f"case when {length2} = 0 then 0D else greatest(0D, least(1D, {t})) end"
 
 
-def distance_between(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.sqrt(point_gap2(x0, y0, x1, y1))
+def point_gap2(x0: str, y0: str, x1: str, y1: str) -> str:
+    """Squared distance between two points."""
+    return f"(pow({x1} - {x0}, 2D) + pow({y1} - {y0}, 2D))"
+
+
+def box_gap2(x: str, y: str, xmin: str, xmax: str, ymin: str, ymax: str) -> str:
+    """Squared distance from a point to a closed box, 0 inside."""
+    gap_x = f"greatest({xmin} - {x}, {x} - {xmax}, 0D)"
+    gap_y = f"greatest({ymin} - {y}, {y} - {ymax}, 0D)"
+    return f"(pow({gap_x}, 2D) + pow({gap_y}, 2D))"
 
 
 def interpolate_measure(
-    m0: Column, m1: Column, x0: Column, y0: Column, x1: Column, y1: Column, x: Column, y: Column
-) -> Column:
+    m0: str, m1: str, x0: str, y0: str, x1: str, y1: str, x: str, y: str
+) -> str:
     """Measure of a place on a segment by its share of the segment's length.
 
     Null where the segment has no length.
     """
-    return (
-        F.try_divide(m1 - m0, distance_between(x0, y0, x1, y1)) * distance_between(x0, y0, x, y)
-        + m0
-    )
-
-
-def box_gap2(
-    x: Column, y: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column
-) -> Column:
-    """Squared distance from a point to a closed box, 0 inside."""
-    gap_x = F.greatest(xmin - x, x - xmax, F.lit(0.0))
-    gap_y = F.greatest(ymin - y, y - ymax, F.lit(0.0))
-    return _squared(gap_x) + _squared(gap_y)
-
-
-def point_gap2(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Squared distance between two points."""
-    return _squared(x1 - x0) + _squared(y1 - y0)
-
-
-def _squared(value: Column) -> Column:
-    # pow names its argument once: a product would evaluate it twice wherever
-    # Catalyst inlines the expression into a filter.
-    return F.pow(value, F.lit(2.0))
+    length, part = point_gap2(x0, y0, x1, y1), point_gap2(x0, y0, x, y)
+    return f"try_divide({m1} - {m0}, sqrt({length})) * sqrt({part}) + {m0}"

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainage.contract import ColumnMap
@@ -41,8 +41,13 @@ class RouteIndex:
 def index_depth(vertices: DataFrame, cols: ColumnMap = ColumnMap()) -> int:
     """Levels needed so that no route's top row has more than 65 boxes (runs a job)."""
     lo, hi = vertices.agg(F.min(cols.vertex_seq), F.max(cols.vertex_seq)).first()
+    return 1 if hi is None else depth_for(lo, hi)
+
+
+def depth_for(lo: int, hi: int) -> int:
+    """Levels needed for vertex numbers from ``lo`` to ``hi``."""
     depth = 1
-    while hi is not None and (hi >> FAN_BITS * depth) - (lo >> FAN_BITS * depth) > TOP_BOXES:
+    while (hi >> FAN_BITS * depth) - (lo >> FAN_BITS * depth) > TOP_BOXES:
         depth += 1
     return depth
 
@@ -59,7 +64,6 @@ def build_index(
         depth = index_depth(segments, cols)
     slim = segments.select(
         F.col(cols.route_id).alias("route"),
-        F.shiftright(cols.vertex_seq, FAN_BITS).alias("node"),
         F.col(cols.vertex_seq).alias("seq"),
         F.col(cols.lon).alias("x0"),
         F.col(cols.lat).alias("y0"),
@@ -68,37 +72,34 @@ def build_index(
         F.col(f"{cols.lat}1").alias("y1"),
         F.col(f"{cols.m_value}1").alias("m1"),
     ).where("x0 is not null and y0 is not null and y1 is not null")
-    # Grouping also by block keeps the partitioning of the segment step.
-    block = F.shiftright("seq", BLOCK_BITS).alias("_block")
-    # Distinct within a leaf and least at its middle, so both picks are one vertex.
-    in_leaf = F.col("seq").bitwiseAND(F.lit(FAN_OUT - 1))
-    from_middle = F.abs(in_leaf * 2 - F.lit(FAN_OUT - 1)) * FAN_OUT + in_leaf
-    boxes = slim.groupBy("route", block, "node").agg(
-        F.min(F.least("x0", "x1")).alias("xmin"),
-        F.max(F.greatest("x0", "x1")).alias("xmax"),
-        F.min(F.least("y0", "y1")).alias("ymin"),
-        F.max(F.greatest("y0", "y1")).alias("ymax"),
-        F.min_by("x0", from_middle).alias("vx"),
-        F.min_by("y0", from_middle).alias("vy"),
+    slim = slim.selectExpr("*", f"shiftright(seq, {FAN_BITS}) as node")
+    # Grouping also by block keeps the partitioning of the segment step. The
+    # order is distinct within a leaf, so both picks are of one vertex.
+    from_middle = f"abs((seq & {FAN_OUT - 1}) * 2 - {FAN_OUT - 1}) * {FAN_OUT} + (seq & {FAN_OUT - 1})"
+    boxes = slim.groupBy("route", F.expr(f"shiftright(seq, {BLOCK_BITS}) as block"), "node").agg(
+        F.expr("min(least(x0, x1)) as xmin"),
+        F.expr("max(greatest(x0, x1)) as xmax"),
+        F.expr("min(least(y0, y1)) as ymin"),
+        F.expr("max(greatest(y0, y1)) as ymax"),
+        F.expr(f"min_by(x0, {from_middle}) as vx"),
+        F.expr(f"min_by(y0, {from_middle}) as vy"),
     )
-    box = F.struct("node", "xmin", "xmax", "ymin", "ymax", "vx", "vy").alias("box")
+    gathered = F.expr("collect_list(struct(node, xmin, xmax, ymin, ymax, vx, vy)) as boxes")
     levels: list[DataFrame] = []
     for level in range(1, depth):
-        parent = F.shiftright("node", FAN_BITS).alias("parent")
-        keys = ["route", "_block"] if (level + 1) * FAN_BITS <= BLOCK_BITS else ["route"]
-        grouped = boxes.groupBy(*keys, parent).agg(
-            F.collect_list(box).alias("boxes"),
-            F.min("xmin").alias("xmin"),
-            F.max("xmax").alias("xmax"),
-            F.min("ymin").alias("ymin"),
-            F.max("ymax").alias("ymax"),
-            F.min_by("vx", "node").alias("vx"),
-            F.min_by("vy", "node").alias("vy"),
+        keys = ["route", "block"] if (level + 1) * FAN_BITS <= BLOCK_BITS else ["route"]
+        grouped = boxes.groupBy(*keys, F.expr(f"shiftright(node, {FAN_BITS}) as parent")).agg(
+            gathered,
+            F.expr("min(xmin) as xmin"),
+            F.expr("max(xmax) as xmax"),
+            F.expr("min(ymin) as ymin"),
+            F.expr("max(ymax) as ymax"),
+            F.expr("min_by(vx, node) as vx"),
+            F.expr("min_by(vy, node) as vy"),
         )
-        levels.append(grouped.select("route", F.col("parent").alias("node"), "boxes"))
+        levels.append(grouped.selectExpr("route", "parent as node", "boxes"))
         boxes = grouped.withColumnRenamed("parent", "node").drop("boxes")
-    top = boxes.groupBy("route").agg(F.collect_list(box).alias("boxes"))
-    return RouteIndex((top, *reversed(levels)), slim)
+    return RouteIndex((boxes.groupBy("route").agg(gathered), *reversed(levels)), slim)
 
 
 def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataFrame:
@@ -109,30 +110,28 @@ def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataF
     unknown routes are dropped; places without coordinates keep one row with a
     null node. ``inside=True`` asks for leaves whose box contains the place.
     """
-    x, y = F.col("x"), F.col("y")
-    known = ~(F.isnan(x) | F.isnan(y))
-    names = places.columns
-    found = places.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)).cast("int"))
+    kept = [f"`{c}`" for c in places.columns]
+    content = "array_min(transform(boxes, b -> {}))".format(point_gap2("x", "y", "b.vx", "b.vy"))
+    reach2 = f"pow(sqrt({content}) * {1 + RELATIVE_SLACK!r}D + {SLACK!r}D, 2D)"
+    near2 = box_gap2("x", "y", "box.xmin", "box.xmax", "box.ymin", "box.ymax")
+    found = places
     for depth, level in enumerate(index.levels):
         if depth == 0:
-            spread = level.withColumn("_salt", F.explode(F.lit(list(range(SALTS)))))
-            found = found.join(spread, ["route", "_salt"]).drop("_salt")
-            found = found.withColumn("reach2", F.lit(0.0 if inside else float("inf")))
+            salted = places.selectExpr("*", f"cast(pmod(xxhash64(x, y), {SALTS}) as int) as _salt")
+            spread = level.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as _salt")
+            found = salted.join(spread, ["route", "_salt"])
+            bound = reach2
         else:
             found = found.join(level, ["route", "node"], "left")
-        if not inside:
-            content = F.array_min(
-                F.transform("boxes", lambda b: point_gap2(x, y, b["vx"], b["vy"]))
+            bound = f"least(reach2, {reach2})"
+        found = (
+            found.selectExpr(*kept, f"{'0D' if inside else bound} as reach2", "boxes")
+            .selectExpr(
+                *kept,
+                "reach2",
+                "explode_outer(case when not isnan(x) and not isnan(y) then boxes end) as box",
             )
-            found = found.withColumn("reach2", F.least("reach2", _with_slack(content)))
-        found = found.withColumn("_box", F.explode_outer(F.when(known, F.col("boxes"))))
-        box = F.col("_box")
-        near2 = box_gap2(x, y, box["xmin"], box["xmax"], box["ymin"], box["ymax"])
-        found = found.where(box.isNull() | (near2 <= F.col("reach2")))
-        found = found.withColumn("node", box["node"])
-        found = found.select(*names, "reach2", "node")
+            .where(f"box is null or {near2} <= reach2")
+            .selectExpr(*kept, "reach2", "box.node as node")
+        )
     return found
-
-
-def _with_slack(distance2: Column) -> Column:
-    return F.pow(F.sqrt(distance2) * F.lit(1 + RELATIVE_SLACK) + F.lit(SLACK), F.lit(2.0))

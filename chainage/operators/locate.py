@@ -24,32 +24,24 @@ def nearest_on_route(places: DataFrame, index: RouteIndex) -> DataFrame:
     out. Places without coordinates stay, with nulls.
     """
     leaves = descend(places.select("route", "x", "y"), index)
-    pairs = leaves.join(index.segments, ["route", "node"], "left")
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     gap2 = box_gap2(
-        F.col("x"), F.col("y"), F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1),
-        F.greatest(y0, y1),
+        "x", "y", "least(x0, x1)", "greatest(x0, x1)", "least(y0, y1)", "greatest(y0, y1)"
     )
-    within = _with_closest(pairs.where(F.col("node").isNull() | (gap2 <= F.col("reach2"))))
-    best = within.groupBy("route", "x", "y").agg(
-        F.min(F.struct("dist", "seq", "m", "cx", "cy")).alias("best")
+    t = fraction_along("x", "y", "x0", "y0", "dx", "dy")
+    near = (
+        leaves.join(index.segments, ["route", "node"], "left")
+        .where(f"node is null or {gap2} <= reach2")
+        .selectExpr("*", "x1 - x0 as dx", "y1 - y0 as dy")
+        .selectExpr("*", f"{t} as t")
+        .selectExpr(
+            "route", "x", "y", "seq", "m0 + t * (m1 - m0) as m", "x0 + t * dx as cx",
+            "y0 + t * dy as cy", "x - x0 - t * dx as off_x", "y - y0 - t * dy as off_y",
+        )
     )
-    return best.select("route", "x", "y", "best.*")
-
-
-def _with_closest(pairs: DataFrame) -> DataFrame:
-    """Add t, dist, m, cx, cy to rows of place and segment."""
-    x, y, x0, y0 = (F.col(c) for c in ("x", "y", "x0", "y0"))
-    dx, dy = F.col("x1") - x0, F.col("y1") - y0
-    placed = pairs.withColumn("t", fraction_along(x, y, x0, y0, dx, dy))
-    placed = placed.withColumns({"cx": x0 + F.col("t") * dx, "cy": y0 + F.col("t") * dy})
-    off_x, off_y = x - x0 - F.col("t") * dx, y - y0 - F.col("t") * dy
-    return placed.withColumns(
-        {
-            "dist": F.sqrt(off_x * off_x + off_y * off_y),
-            "m": F.col("m0") + F.col("t") * (F.col("m1") - F.col("m0")),
-        }
+    best = near.groupBy("route", "x", "y").agg(
+        F.expr("min(struct(sqrt(off_x * off_x + off_y * off_y) as dist, seq, m, cx, cy)) as best")
     )
+    return best.select("route", "x", "y", "best.*")
 
 
 def locate(
@@ -75,43 +67,30 @@ def locate(
     px = F.col(cols.lon) if x is None else x
     py = F.col(cols.lat) if y is None else y
     kept = [c for c in events.columns if c not in (cols.m_value, cols.distance)]
+    # Grouping and joining treat NaN as equal to itself, null not. The hash is a
+    # key of its own so that both join sides are shuffled afresh, which lets
+    # adaptive execution split a place that very many events share.
     keyed = events.select(
         *kept,
         route_key(events, cols.route_id).alias("_route"),
-        # Grouping and joining treat NaN as equal to itself, null not.
         F.coalesce(px.cast("double"), F.lit(NAN)).alias("_x"),
         F.coalesce(py.cast("double"), F.lit(NAN)).alias("_y"),
-    )
-    places = keyed.select(
-        F.col("_route").alias("route"), F.col("_x").alias("x"), F.col("_y").alias("y")
-    )
-    places = places.where(F.col("route").isNotNull()).distinct()
-    found = nearest_on_route(places, index)
-    # The hash is a key of its own so that both join sides are shuffled afresh,
-    # which lets adaptive execution split a place that very many events share.
-    found = found.select(
-        F.xxhash64("route", "x", "y").alias("_place"),
-        F.col("route").alias("_route"),
-        F.col("x").alias("_x"),
-        F.col("y").alias("_y"),
-        "dist",
-        "m",
-        "cx",
-        "cy",
-        F.lit(True).alias("_hit"),
-    )
-    keyed = keyed.withColumn("_place", F.xxhash64("_route", "_x", "_y"))
+    ).selectExpr("*", "xxhash64(_route, _x, _y) as _place")
+    places = keyed.selectExpr("_route as route", "_x as x", "_y as y")
+    found = nearest_on_route(places.where("route is not null").distinct(), index).selectExpr(
+        "xxhash64(route, x, y) as _place", "route as _route", "x as _x", "y as _y", "dist", "m",
+        "cx", "cy", "true as hit",
+    ).alias("found")
     how = "inner" if unmatched == "drop" else "left"
     joined = keyed.join(found, ["_place", "_route", "_x", "_y"], how)
-    m = F.col("m") if unmatched == "drop" else F.coalesce("m", F.lit(0.0))
+    result = [F.expr("found.m" if unmatched == "drop" else "coalesce(found.m, 0D)").alias(cols.m_value)]
+    result.append(F.col("found.dist").alias(cols.distance))
     extra = []
     if closest:
-        extra += [F.col("cx").alias(closest[0]), F.col("cy").alias(closest[1])]
+        extra += [F.col("found.cx").alias(closest[0]), F.col("found.cy").alias(closest[1])]
     if matched_flag:
-        extra.append(F.coalesce("_hit", F.lit(False)).alias(matched_flag))
-    return joined.select(
-        *kept, *extra, m.alias(cols.m_value), F.col("dist").alias(cols.distance)
-    )
+        extra.append(F.expr("found.hit is not null").alias(matched_flag))
+    return joined.select(*kept, *extra, *result)
 
 
 def shortest_line(
@@ -144,13 +123,12 @@ def box_candidates(
     )
     leaves = descend(keyed, index, inside=True).where("node is not null")
     pairs = leaves.join(index.segments, ["route", "node"])
-    px, py, x0, y0, x1, y1 = (F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1"))
-    inside = px.between(F.least(x0, x1), F.greatest(x0, x1)) & py.between(
-        F.least(y0, y1), F.greatest(y0, y1)
+    inside = pairs.where(
+        "x between least(x0, x1) and greatest(x0, x1) and y between least(y0, y1) and greatest(y0, y1)"
     )
-    m_at = interpolate_measure(F.col("m0"), F.col("m1"), x0, y0, x1, y1, px, py)
-    return pairs.where(inside).select(
-        *places.columns, F.col("seq").alias(cols.vertex_seq), m_at.alias("M_AT")
+    m_at = interpolate_measure("m0", "m1", "x0", "y0", "x1", "y1", "x", "y")
+    return inside.select(
+        *places.columns, F.col("seq").alias(cols.vertex_seq), F.expr(m_at).alias("M_AT")
     )
 
 

@@ -20,11 +20,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainage.contract import ColumnMap, ContractError
-from chainage.operators.index import RouteIndex, build_index, index_depth
-from chainage.operators.routes import duplicate_vertices, linestrings, only_routes, segments
+from chainage.contract import ContractError
+from chainage.operators.index import RouteIndex, build_index, depth_for
+from chainage.operators.routes import linestrings, only_routes, segments
 from chainage.plans import catalog
 from chainage.plans.merge import merge_routes
+from chainage.plans.scratch import scratch_dir
 from chainage.sources.tables import route_columns
 
 CATALOG_SCHEMA = (
@@ -100,19 +101,13 @@ class RouteStore:
         The batch is written to the store once and read back, so it may come
         from any plan. A route delivered twice is refused.
         """
-        cols = ColumnMap()
         rows = self._rows()
         number = catalog.next_version(rows, []).first()["NEXT_VERSION"]
         commit = f"{number:06d}-{uuid.uuid4().hex[:12]}"
-        staged_path = f"{self.root}/staged/{commit}"
+        staged_path = scratch_dir(self.spark, "staged")
         route_columns(batch).withColumn("bucket", self._bucket()).write.parquet(staged_path)
         staged = self.spark.read.parquet(staged_path)
-        doubled = duplicate_vertices(staged, cols).limit(5).collect()
-        if doubled:
-            raise ContractError(f"routes with repeated vertices: {sorted({r[0] for r in doubled})}")
-        if not staged.where(F.col("ROUTEID").isNull()).isEmpty():
-            raise ContractError("vertices without a route id")
-        touched = [r[0] for r in staged.select("bucket").distinct().collect()]
+        touched, depth = self._check(staged)
         before = self._last(rows)
         new = {
             "points": staged,
@@ -124,7 +119,7 @@ class RouteStore:
             if before is not None:
                 live = [(c, b) for b, c in enumerate(before["BUCKET_COMMITS"]) if c and b in touched]
                 old = self._scan(table, live) if live else None
-            merged = merge_routes(old, fresh, cols, replaced=staged)
+            merged = merge_routes(old, fresh, replaced=staged)
             order = "VERTEX_SEQ" if table != "linestrings" else "PART"
             (
                 merged.hint("rebalance", "bucket")
@@ -135,13 +130,33 @@ class RouteStore:
         commits = list(before["BUCKET_COMMITS"]) if before is not None else [None] * self.buckets
         for b in touched:
             commits[b] = commit
-        depth = max(index_depth(staged, cols), before["INDEX_DEPTH"] if before is not None else 1)
+        depth = max(depth, before["INDEX_DEPTH"] if before is not None else 1)
         paths = [f"{self.root}/{t}" for t in TABLES]
         row = (number, as_of_date, *paths, author, message, commits, depth)
         entry = self.spark.createDataFrame([row], CATALOG_SCHEMA)
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/catalog")
         return number
 
+    def _check(self, staged: DataFrame) -> tuple[list[int], int]:
+        """Refuse a bad batch; its buckets and the index depth it needs (one job)."""
+        per_vertex = staged.groupBy("ROUTEID", "VERTEX_SEQ", "bucket").agg(
+            F.count(F.lit(1)).alias("copies")
+        )
+        seen = per_vertex.agg(
+            F.min(F.when(F.col("copies") > 1, F.col("ROUTEID"))).alias("doubled"),
+            F.count_if(F.col("ROUTEID").isNull() | F.col("VERTEX_SEQ").isNull()).alias("unnamed"),
+            F.min("VERTEX_SEQ").alias("lo"),
+            F.max("VERTEX_SEQ").alias("hi"),
+            F.collect_set("bucket").alias("buckets"),
+        ).first()
+        if seen["doubled"] is not None:
+            raise ContractError(f"route delivered twice, for instance {seen['doubled']}")
+        if seen["unnamed"]:
+            raise ContractError(f"{seen['unnamed']} vertices lack a route id or number")
+        if seen["lo"] is None:
+            raise ContractError("the batch has no vertices")
+        return sorted(seen["buckets"]), depth_for(seen["lo"], seen["hi"])
+
     # -- reading ---------------------------------------------------------
 
     def _rows(self) -> DataFrame:
