@@ -36,7 +36,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> RouteIndex:
-    return build_index(rt.segments(fx.points(spark, sf), dense=True), depth=FIXTURE_DEPTH)
+    parts = rt.segments(fx.points(spark, sf), dense=True, with_block=True)
+    return build_index(parts, depth=FIXTURE_DEPTH)
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:

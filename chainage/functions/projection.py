@@ -30,21 +30,19 @@ _FLATTENING = 1 / INVERSE_FLATTENING
 ECCENTRICITY = math.sqrt(_FLATTENING * (2 - _FLATTENING))
 
 
-def _isometric(phi: float) -> float:
-    bent = ECCENTRICITY * math.atanh(ECCENTRICITY * math.sin(phi))
-    return math.tan(math.pi / 4 - phi / 2) * math.exp(bent)
+def _log_t(phi: float) -> float:
+    return ECCENTRICITY * math.atanh(ECCENTRICITY * math.sin(phi)) - math.atanh(math.sin(phi))
 
 
-def _parallel_radius(phi: float) -> float:
-    return math.cos(phi) / math.sqrt(1 - (ECCENTRICITY * math.sin(phi)) ** 2)
+def _log_parallel(phi: float) -> float:
+    return math.log(math.cos(phi)) - math.log1p(-((ECCENTRICITY * math.sin(phi)) ** 2)) / 2
 
 
 _P1, _P2 = (math.radians(p) for p in STANDARD_PARALLELS)
-CONE = (math.log(_parallel_radius(_P1)) - math.log(_parallel_radius(_P2))) / (
-    math.log(_isometric(_P1)) - math.log(_isometric(_P2))
-)
-SCALE = _parallel_radius(_P1) / (CONE * _isometric(_P1) ** CONE)
-RHO_ORIGIN = SEMI_MAJOR * SCALE * _isometric(math.radians(LATITUDE_OF_ORIGIN)) ** CONE
+CONE = (_log_parallel(_P1) - _log_parallel(_P2)) / (_log_t(_P1) - _log_t(_P2))
+SCALE = math.exp(_log_parallel(_P1) - CONE * _log_t(_P1)) / CONE
+_LOG_ORIGIN = CONE * _log_t(math.radians(LATITUDE_OF_ORIGIN))
+RHO_ORIGIN = SEMI_MAJOR * SCALE * math.exp(_LOG_ORIGIN)
 
 
 def check_crs(crs: str) -> str:
@@ -57,13 +55,18 @@ def check_crs(crs: str) -> str:
 
 
 def to_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Degrees to (easting, northing) in metres."""
-    phi = F.radians(lat)
-    bent = F.exp(F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.sin(phi)))
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) * bent
-    rho = F.lit(SEMI_MAJOR * SCALE) * F.pow(t, F.lit(CONE))
+    """Degrees to (easting, northing) in metres.
+
+    The cone's radius is about 1.5e8 m, so the northing is not taken as a
+    difference of two radii but from the small terms they differ by.
+    """
+    sine = F.sin(F.radians(lat))
+    log_t = F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * sine) - F.atanh(sine)
+    shrink = F.lit(CONE) * log_t - F.lit(_LOG_ORIGIN)
+    rho = F.lit(RHO_ORIGIN) * F.exp(shrink)
     theta = F.radians(lon - F.lit(CENTRAL_MERIDIAN)) * F.lit(CONE)
-    return rho * F.sin(theta), F.lit(RHO_ORIGIN) - rho * F.cos(theta)
+    sag = 2 * rho * F.pow(F.sin(theta / 2), F.lit(2.0))
+    return rho * F.sin(theta), sag - F.lit(RHO_ORIGIN) * F.expm1(shrink)
 
 
 def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:

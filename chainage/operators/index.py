@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chainage.contract import ColumnMap
 from chainage.functions.measure import box_gap2, point_gap2
-from chainage.operators.routes import BLOCK_BITS
+from chainage.operators.routes import BLOCK, BLOCK_BITS
 
 FAN_BITS = 4
 FAN_OUT = 1 << FAN_BITS
@@ -62,7 +62,9 @@ def build_index(
     """
     if depth is None:
         depth = index_depth(segments, cols)
+    block = F.col(BLOCK) if BLOCK in segments.columns else F.shiftright(cols.vertex_seq, BLOCK_BITS)
     slim = segments.select(
+        block.alias("block"),
         F.col(cols.route_id).alias("route"),
         F.col(cols.vertex_seq).alias("seq"),
         F.col(cols.lon).alias("x0"),
@@ -76,7 +78,7 @@ def build_index(
     # Grouping also by block keeps the partitioning of the segment step. The
     # order is distinct within a leaf, so both picks are of one vertex.
     from_middle = f"abs((seq & {FAN_OUT - 1}) * 2 - {FAN_OUT - 1}) * {FAN_OUT} + (seq & {FAN_OUT - 1})"
-    boxes = slim.groupBy("route", F.expr(f"shiftright(seq, {BLOCK_BITS}) as block"), "node").agg(
+    boxes = slim.groupBy("route", "block", "node").agg(
         F.expr("min(least(x0, x1)) as xmin"),
         F.expr("max(greatest(x0, x1)) as xmax"),
         F.expr("min(least(y0, y1)) as ymin"),
@@ -99,7 +101,7 @@ def build_index(
         )
         levels.append(grouped.selectExpr("route", "parent as node", "boxes"))
         boxes = grouped.withColumnRenamed("parent", "node").drop("boxes")
-    return RouteIndex((boxes.groupBy("route").agg(gathered), *reversed(levels)), slim)
+    return RouteIndex((boxes.groupBy("route").agg(gathered), *reversed(levels)), slim.drop("block"))
 
 
 def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataFrame:

@@ -152,7 +152,7 @@ def calculate_m_value(
         raise ContractError("output_crs must be 'input' or 'working'")
     ready = mapping.conform(events)
     check_crs(crs)
-    index = routes if isinstance(routes, RouteIndex) else build_index(segments(routes))
+    index = routes if isinstance(routes, RouteIndex) else build_index(segments(routes, with_block=True))
     if output_crs == "working":
         ready = project(ready, crs, LAMBERT_WKT, mapping)
     x, y = F.col(mapping.lon), F.col(mapping.lat)

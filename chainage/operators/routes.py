@@ -61,11 +61,14 @@ def segments(
     cols: ColumnMap = ColumnMap(),
     dense: bool = False,
     by_path: bool = False,
+    with_block: bool = False,
 ) -> DataFrame:
     """Every vertex with its successor on the route; the last vertex is dropped.
 
     ``by_path=True`` also drops the joint between two paths of one route
     (needs PATH_SEQ). The gradient is null where it has no finite value.
+    ``with_block`` keeps the column the rows are partitioned by, so that an
+    index can be built on them without another shuffle.
     """
     cols.require(points, cols.m_value, cols.vertex_seq)
     if by_path and "PATH_SEQ" not in points.columns:
@@ -100,6 +103,7 @@ def segments(
         f"{m}1",
         "mvgradient",
         (F.col(lat) - F.col("mvgradient") * F.col(lon)).alias("c"),
+        *([BLOCK] if with_block else []),
     )
 
 

@@ -110,9 +110,10 @@ _R0 = _A * _F * _t(0.0) ** _N
 
 
 def grid_of(lon: str, lat: str) -> tuple[str, str]:
-    phi = f"radians({lat})"
-    s = f"({_E!r} * sin({phi}))"
-    t = f"(tan({math.pi / 4!r} - {phi} / 2) / pow((1 - {s}) / (1 + {s}), {_E / 2!r}))"
-    rho = f"({_A * _F!r} * pow({t}, {_N!r}))"
+    sine = f"sin(radians({lat}))"
+    shrink = f"({_N!r} * ({_E!r} * atanh({_E!r} * {sine}) - atanh({sine})))"
     theta = f"({_N!r} * radians({lon} - 115.0e0))"
-    return f"{rho} * sin({theta})", f"{_R0!r} - {rho} * cos({theta})"
+    rho = f"({_R0!r} * exp({shrink}))"
+    # exp(u) - 1 = 2 exp(u/2) sinh(u/2) and 1 - cos(v) = 2 sin(v/2)^2
+    grown = f"(2 * exp({shrink} / 2) * sinh({shrink} / 2))"
+    return f"{rho} * sin({theta})", f"2 * {rho} * pow(sin({theta} / 2), 2) - {_R0!r} * {grown}"
