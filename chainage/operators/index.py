@@ -21,6 +21,9 @@ from chainage.operators.routes import BLOCK, BLOCK_BITS
 FAN_BITS = 4
 FAN_OUT = 1 << FAN_BITS
 TOP_BOXES = 64
+# Vertices a leaf keeps, by name and offset; the first bounds the search in
+# all leaves, the others only in those it leaves over.
+SAMPLES = {"v": 7, "a": 1, "b": 4, "c": 10, "d": 13}
 SALTS = 8
 # Room for rounding in the bounds, in coordinate units and relative.
 SLACK, RELATIVE_SLACK = 1e-6, 1e-9
@@ -75,18 +78,24 @@ def build_index(
         F.col(f"{cols.m_value}1").alias("m1"),
     ).where("x0 is not null and y0 is not null and y1 is not null")
     slim = slim.selectExpr("*", f"shiftright(seq, {FAN_BITS}) as node")
-    # Grouping also by block keeps the partitioning of the segment step. The
-    # order is distinct within a leaf, so both picks are of one vertex.
-    from_middle = f"abs((seq & {FAN_OUT - 1}) * 2 - {FAN_OUT - 1}) * {FAN_OUT} + (seq & {FAN_OUT - 1})"
+    # Grouping also by block keeps the partitioning of the segment step. Each
+    # vertex kept is the one nearest to its target offset; the order is
+    # distinct within a leaf, so x and y are of one vertex.
+    offset = f"(seq & {FAN_OUT - 1})"
+    vertices = [
+        F.expr(f"min_by({c}0, abs({offset} - {target}) * {FAN_OUT} + {offset}) as {name}{c}")
+        for name, target in SAMPLES.items()
+        for c in "xy"
+    ]
     boxes = slim.groupBy("route", "block", "node").agg(
         F.expr("min(least(x0, x1)) as xmin"),
         F.expr("max(greatest(x0, x1)) as xmax"),
         F.expr("min(least(y0, y1)) as ymin"),
         F.expr("max(greatest(y0, y1)) as ymax"),
-        F.expr(f"min_by(x0, {from_middle}) as vx"),
-        F.expr(f"min_by(y0, {from_middle}) as vy"),
+        *vertices,
     )
-    gathered = F.expr("collect_list(struct(node, xmin, xmax, ymin, ymax, vx, vy)) as boxes")
+    sampled = ", ".join(f"{name}x, {name}y" for name in SAMPLES)
+    gathered = F.expr(f"collect_list(struct(node, xmin, xmax, ymin, ymax, {sampled})) as boxes")
     levels: list[DataFrame] = []
     for level in range(1, depth):
         keys = ["route", "block"] if (level + 1) * FAN_BITS <= BLOCK_BITS else ["route"]
@@ -101,6 +110,7 @@ def build_index(
         )
         levels.append(grouped.selectExpr("route", "parent as node", "boxes"))
         boxes = grouped.withColumnRenamed("parent", "node").drop("boxes")
+        gathered = F.expr("collect_list(struct(node, xmin, xmax, ymin, ymax, vx, vy)) as boxes")
     return RouteIndex((boxes.groupBy("route").agg(gathered), *reversed(levels)), slim.drop("block"))
 
 
@@ -114,7 +124,7 @@ def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataF
     """
     kept = [f"`{c}`" for c in places.columns]
     content = "array_min(transform(boxes, b -> {}))".format(point_gap2("x", "y", "b.vx", "b.vy"))
-    reach2 = f"pow(sqrt({content}) * {1 + RELATIVE_SLACK!r}D + {SLACK!r}D, 2D)"
+    reach2 = _with_slack(content)
     near2 = box_gap2("x", "y", "box.xmin", "box.xmax", "box.ymin", "box.ymax")
     found = places
     for depth, level in enumerate(index.levels):
@@ -134,6 +144,13 @@ def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataF
                 "explode_outer(case when not isnan(x) and not isnan(y) then boxes end) as box",
             )
             .where(f"box is null or {near2} <= reach2")
-            .selectExpr(*kept, "reach2", "box.node as node")
         )
+        names = SAMPLES if depth == len(index.levels) - 1 else ()
+        bounds = [_with_slack(point_gap2("x", "y", f"box.{n}x", f"box.{n}y")) for n in names]
+        tight = "reach2" if inside or not bounds else f"least(reach2, {', '.join(bounds)})"
+        found = found.selectExpr(*kept, f"{tight} as reach2", "box.node as node")
     return found
+
+
+def _with_slack(distance2: str) -> str:
+    return f"pow(sqrt({distance2}) * {1 + RELATIVE_SLACK!r}D + {SLACK!r}D, 2D)"

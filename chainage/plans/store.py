@@ -12,6 +12,7 @@ publish leaves only folders no version refers to. One writer at a time.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -102,31 +103,35 @@ class RouteStore:
         from any plan. A route delivered twice is refused.
         """
         rows = self._rows()
-        number = catalog.next_version(rows, []).first()["NEXT_VERSION"]
+        before = rows.orderBy(F.desc("VERSION")).limit(1).first()
+        number = 1 if before is None else before["VERSION"] + 1
         commit = f"{number:06d}-{uuid.uuid4().hex[:12]}"
         staged_path = scratch_dir(self.spark, "staged")
         route_columns(batch).withColumn("bucket", self._bucket()).write.parquet(staged_path)
         staged = self.spark.read.parquet(staged_path)
         touched, depth = self._check(staged)
-        before = self._last(rows)
         new = {
             "points": staged,
             "segments": segments(staged, dense=dense),
             "linestrings": linestrings(staged).withColumn("bucket", self._bucket()),
         }
-        for table, fresh in new.items():
+
+        def write(table: str) -> None:
             old = None
             if before is not None:
                 live = [(c, b) for b, c in enumerate(before["BUCKET_COMMITS"]) if c and b in touched]
                 old = self._scan(table, live) if live else None
-            merged = merge_routes(old, fresh, replaced=staged)
-            order = "VERTEX_SEQ" if table != "linestrings" else "PART"
+            merged = merge_routes(old, new[table], replaced=staged)
+            order = "PART" if table == "linestrings" else "VERTEX_SEQ"
             (
                 merged.hint("rebalance", "bucket")
                 .sortWithinPartitions("bucket", "ROUTEID", order)
                 .write.partitionBy("bucket")
                 .parquet(f"{self.root}/{table}/commit={commit}")
             )
+
+        with ThreadPoolExecutor(len(new)) as pool:
+            list(pool.map(write, new))
         commits = list(before["BUCKET_COMMITS"]) if before is not None else [None] * self.buckets
         for b in touched:
             commits[b] = commit
@@ -168,9 +173,6 @@ class RouteStore:
                 raise
             return self.spark.createDataFrame([], CATALOG_SCHEMA)
 
-    def _last(self, rows: DataFrame):
-        return rows.orderBy(F.desc("VERSION")).limit(1).first()
-
     def _open(self, entry: DataFrame, routes) -> RouteTables:
         row = entry.first()
         if row is None:
