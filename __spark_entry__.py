@@ -357,7 +357,7 @@ def stream_mvalue(spark, sf):
     index = _index(spark, sf)
     query = locate_stream(
         read_event_stream(spark, source, arrivals.schema, max_files=4),
-        lambda: index,
+        lambda batch: index,
         target,
         scratch_dir(spark, "progress"),
         crs=LAMBERT_WKT,

@@ -21,6 +21,8 @@ from chainage.operators.routes import BLOCK, BLOCK_BITS
 FAN_BITS = 4
 FAN_OUT = 1 << FAN_BITS
 TOP_BOXES = 64
+# Coordinates whose squares would overflow count as unknown.
+FARTHEST = 1e150
 # Vertices a leaf keeps, by name and offset; the first bounds the search in
 # all leaves, the others only in those it leaves over.
 SAMPLES = {"v": 7, "a": 1, "b": 4, "c": 10, "d": 13}
@@ -126,6 +128,8 @@ def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataF
     content = "array_min(transform(boxes, b -> {}))".format(point_gap2("x", "y", "b.vx", "b.vy"))
     reach2 = _with_slack(content)
     near2 = box_gap2("x", "y", "box.xmin", "box.xmax", "box.ymin", "box.ymax")
+    # False for NaN too, which Spark orders above every number.
+    known = f"abs(x) < {FARTHEST!r}D and abs(y) < {FARTHEST!r}D"
     found = places
     for depth, level in enumerate(index.levels):
         if depth == 0:
@@ -141,7 +145,7 @@ def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataF
             .selectExpr(
                 *kept,
                 "reach2",
-                "explode_outer(case when not isnan(x) and not isnan(y) then boxes end) as box",
+                f"explode_outer(case when {known} then boxes end) as box",
             )
             .where(f"box is null or {near2} <= reach2")
         )

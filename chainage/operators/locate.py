@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,26 @@ from chainage.operators.project import project
 from chainage.operators.routes import segments
 
 NAN = float("nan")
+Projection = Callable[[Column, Column], tuple[Column, Column]]
 
 
-def nearest_on_route(places: DataFrame, index: RouteIndex) -> DataFrame:
+def nearest_on_route(
+    places: DataFrame, index: RouteIndex, to_working: Projection | None = None
+) -> DataFrame:
     """Exact nearest segment for each distinct (route, x, y) of ``places``.
 
     Adds dist, seq, m, cx, cy (the closest place); the lower vertex number wins
     a tie. Places of unknown routes, and of routes without a segment, are left
-    out. Places without coordinates stay, with nulls.
+    out. Places without coordinates stay, with nulls. ``to_working`` projects
+    the places; x and y in the result are the given ones.
     """
-    leaves = descend(places.select("route", "x", "y"), index)
+    keys, searched = ["route", "x", "y"], places.select("route", "x", "y")
+    if to_working is not None:
+        keys = ["route", "given_x", "given_y"]
+        searched = searched.toDF(*keys)
+        x, y = to_working(F.col("given_x"), F.col("given_y"))
+        searched = searched.select(*keys, x.alias("x"), y.alias("y"))
+    leaves = descend(searched, index)
     gap2 = box_gap2(
         "x", "y", "least(x0, x1)", "greatest(x0, x1)", "least(y0, y1)", "greatest(y0, y1)"
     )
@@ -34,14 +46,14 @@ def nearest_on_route(places: DataFrame, index: RouteIndex) -> DataFrame:
         .selectExpr("*", "x1 - x0 as dx", "y1 - y0 as dy")
         .selectExpr("*", f"{t} as t")
         .selectExpr(
-            "route", "x", "y", "seq", "m0 + t * (m1 - m0) as m", "x0 + t * dx as cx",
+            *keys, "seq", "m0 + t * (m1 - m0) as m", "x0 + t * dx as cx",
             "y0 + t * dy as cy", "x - x0 - t * dx as off_x", "y - y0 - t * dy as off_y",
         )
     )
-    best = near.groupBy("route", "x", "y").agg(
+    best = near.groupBy(*keys).agg(
         F.expr("min(struct(sqrt(off_x * off_x + off_y * off_y) as dist, seq, m, cx, cy)) as best")
     )
-    return best.select("route", "x", "y", "best.*")
+    return best.select(*keys, "best.*").withColumnsRenamed(dict(zip(keys, ("route", "x", "y"))))
 
 
 def locate(
@@ -49,23 +61,21 @@ def locate(
     index: RouteIndex,
     cols: ColumnMap = ColumnMap(),
     unmatched: str = "drop",
-    x: Column | None = None,
-    y: Column | None = None,
+    to_working: Projection | None = None,
     matched_flag: str | None = None,
     closest: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Events with the measure and distance columns replaced, both last.
 
     ``unmatched="drop"`` leaves out events of unknown routes; ``"keep"`` gives
-    them measure 0 and a null distance. ``x`` and ``y`` are the coordinates in
-    the routes' CRS when they differ from the event's own columns. ``closest``
-    names two columns for the closest place on the route.
+    them measure 0 and a null distance. ``to_working`` projects the event's
+    coordinates into the routes' CRS for the search; results are matched to
+    events by the coordinates as given. ``closest`` names two columns for the
+    closest place on the route.
     """
     if unmatched not in ("drop", "keep"):
         raise ContractError("unmatched must be 'drop' or 'keep'")
     cols.require(events)
-    px = F.col(cols.lon) if x is None else x
-    py = F.col(cols.lat) if y is None else y
     kept = [c for c in events.columns if c not in (cols.m_value, cols.distance)]
     # Grouping and joining treat NaN as equal to itself, null not. The hash is a
     # key of its own so that both join sides are shuffled afresh, which lets
@@ -73,11 +83,13 @@ def locate(
     keyed = events.select(
         *kept,
         route_key(events, cols.route_id).alias("_route"),
-        F.coalesce(px.cast("double"), F.lit(NAN)).alias("_x"),
-        F.coalesce(py.cast("double"), F.lit(NAN)).alias("_y"),
+        F.coalesce(F.col(cols.lon).cast("double"), F.lit(NAN)).alias("_x"),
+        F.coalesce(F.col(cols.lat).cast("double"), F.lit(NAN)).alias("_y"),
     ).selectExpr("*", "xxhash64(_route, _x, _y) as _place")
     places = keyed.selectExpr("_route as route", "_x as x", "_y as y")
-    found = nearest_on_route(places.where("route is not null").distinct(), index).selectExpr(
+    found = nearest_on_route(
+        places.where("route is not null").distinct(), index, to_working
+    ).selectExpr(
         "xxhash64(route, x, y) as _place", "route as _route", "x as _x", "y as _y", "dist", "m",
         "cx", "cy", "true as hit",
     ).alias("found")
@@ -155,8 +167,6 @@ def calculate_m_value(
     index = routes if isinstance(routes, RouteIndex) else build_index(segments(routes, with_block=True))
     if output_crs == "working":
         ready = project(ready, crs, LAMBERT_WKT, mapping)
-    x, y = F.col(mapping.lon), F.col(mapping.lat)
-    if output_crs == "input" and crs != LAMBERT_WKT:
-        x, y = to_grid(x, y)
-    located = locate(ready, index, mapping, unmatched, x=x, y=y)
+    in_working = output_crs == "working" or crs == LAMBERT_WKT
+    located = locate(ready, index, mapping, unmatched, None if in_working else to_grid)
     return require_rows(located, "the located events") if strict else located

@@ -16,6 +16,7 @@ from chainage.contract import ColumnMap, ContractError
 
 BLOCK_BITS = 15
 MAX_IN_LIST = 1000
+SALTS = 16
 EDGE = "_edge"
 BLOCK = "_block"
 
@@ -162,14 +163,34 @@ def only_routes(table: DataFrame, routes, cols: ColumnMap = ColumnMap()) -> Data
     if isinstance(routes, str):
         return table.where(key == routes)
     if isinstance(routes, DataFrame):
-        return table.join(routes.select(cols.route_id), cols.route_id, "left_semi")
+        return join_ids(table, routes.select(cols.route_id), "left_semi", cols)
     ids = list(routes)
     if len(ids) > MAX_IN_LIST:
         wanted = table.sparkSession.createDataFrame([(i,) for i in ids], [cols.route_id])
-        return table.join(wanted, cols.route_id, "left_semi")
+        return join_ids(table, wanted, "left_semi", cols)
     return table.where(key.isin(ids))
 
 
+def join_ids(
+    table: DataFrame, ids: DataFrame, how: str, cols: ColumnMap = ColumnMap()
+) -> DataFrame:
+    """Rows whose route is (``left_semi``) or is not (``left_anti``) among ``ids``.
+
+    A long route's rows are spread over several join keys by their place on
+    the route, and each id is offered under all of them.
+    """
+    wanted = ids.select(cols.route_id).distinct()
+    if cols.vertex_seq in table.columns:
+        spread = F.pmod(F.shiftright(cols.vertex_seq, BLOCK_BITS), F.lit(SALTS))
+    elif "PART" in table.columns:
+        spread = F.pmod("PART", F.lit(SALTS))
+    else:
+        return table.join(wanted, cols.route_id, how)
+    offered = wanted.withColumn("_spread", F.explode(F.lit(list(range(SALTS)))))
+    salted = table.withColumn("_spread", F.coalesce(spread, F.lit(0)).cast("int"))
+    return salted.join(offered, [cols.route_id, "_spread"], how).select(*table.columns)
+
+
 def union_sources(*tables: DataFrame) -> DataFrame:
     """All rows of several route tables, columns matched by name."""
     first, *rest = tables

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chainage.contract import ColumnMap
 from chainage.functions.projection import GEOGRAPHIC
+from chainage.operators.events import event_route_ids
 from chainage.operators.index import RouteIndex
 from chainage.operators.locate import calculate_m_value
 from chainage.plans.store import RouteStore
@@ -32,6 +33,16 @@ def sync_routes(
     return store.publish(vertices, as_of_date, author, message, dense=True)
 
 
+def index_for(store: RouteStore, events: DataFrame, cols: ColumnMap = ColumnMap()) -> RouteIndex:
+    """Index of the open version, limited to the routes that occur in the events.
+
+    For requests and micro-batches that touch few of the stored routes; a bulk
+    job reads all of them with ``store.latest().index()``.
+    """
+    ids = event_route_ids(events, cols).withColumnRenamed(cols.route_id, "ROUTEID")
+    return store.latest(ids).index()
+
+
 def locate_geojson(
     documents: DataFrame,
     index: RouteIndex,

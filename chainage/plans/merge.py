@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainage.contract import ColumnMap
-from chainage.operators.routes import BLOCK_BITS
-
-SALTS = 16
+from chainage.operators.routes import join_ids
 
 
 def merge_routes(
@@ -25,23 +23,5 @@ def merge_routes(
     if previous is None:
         return batch
     ids = (batch if replaced is None else replaced).select(cols.route_id)
-    ids = ids.where(F.col(cols.route_id).isNotNull()).distinct()
-    kept = without_routes(previous, ids, cols)
-    return kept.unionByName(batch)
-
-
-def without_routes(table: DataFrame, ids: DataFrame, cols: ColumnMap = ColumnMap()) -> DataFrame:
-    """Rows whose route is not among ``ids``.
-
-    A long route's rows are spread over several join keys by their place on
-    the route, and each id is offered under all of them.
-    """
-    if cols.vertex_seq in table.columns:
-        spread = F.pmod(F.shiftright(cols.vertex_seq, BLOCK_BITS), F.lit(SALTS))
-    elif "PART" in table.columns:
-        spread = F.pmod("PART", F.lit(SALTS))
-    else:
-        return table.join(ids, cols.route_id, "left_anti")
-    offered = ids.withColumn("_spread", F.explode(F.lit(list(range(SALTS)))))
-    salted = table.withColumn("_spread", F.coalesce(spread, F.lit(0)).cast("int"))
-    return salted.join(offered, [cols.route_id, "_spread"], "left_anti").drop("_spread")
+    ids = ids.where(F.col(cols.route_id).isNotNull())
+    return join_ids(previous, ids, "left_anti", cols).unionByName(batch)

@@ -25,7 +25,7 @@ def read_event_stream(
 
 def locate_stream(
     events: DataFrame,
-    snapshot: Callable[[], RouteIndex],
+    snapshot: Callable[[DataFrame], RouteIndex],
     target: str,
     checkpoint: str,
     cols: ColumnMap = ColumnMap(),
@@ -35,14 +35,15 @@ def locate_stream(
 ) -> StreamingQuery:
     """Write each micro-batch, located, to its own folder under ``target``.
 
-    ``snapshot`` is asked once per micro-batch, so a newly published route
-    version takes effect between batches. A retried batch overwrites its own
+    ``snapshot`` is asked for an index once per micro-batch, so a newly
+    published route version takes effect between batches; it is given the batch
+    and may open only that batch's routes (``jobs.index_for``). A retried batch overwrites its own
     folder, so every event is written once. Without ``continuous`` the query
     stops when all present files are done.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        located = calculate_m_value(batch, snapshot(), cols, crs, unmatched)
+        located = calculate_m_value(batch, snapshot(batch), cols, crs, unmatched)
         located.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     writer = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

@@ -164,7 +164,8 @@ def test_calculate_m_value_projects_and_keeps_the_input_coordinates(make_points,
         loc.calculate_m_value(asked, points, names, crs="EPSG:3857")
 
 
-def test_nan_coordinates_do_not_match_a_segment(make_points, make_events):
+def test_impossible_and_signed_zero_coordinates(make_points, make_events):
     points = make_points({"a": [(0, 0, 5), (10, 0, 6)]})
-    got = located(make_events([(1, "a", math.nan, 0)]), points)
-    assert got[1].MVAL is None
+    events = [(1, "a", math.nan, 0), (2, "a", 0, math.inf), (3, "a", -1e200, 0), (4, "a", -0.0, 0.0), (5, "a", 0.0, -0.0)]
+    got = located(make_events(events), points)
+    assert [got[k].MVAL for k in (1, 2, 3, 4, 5)] == [None, None, None, 5, 5]

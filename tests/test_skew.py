@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from chainage.operators import index as ix
 from chainage.operators import locate as loc
 from chainage.operators import routes as rt
-from chainage.plans.merge import without_routes
 
 
 @contextlib.contextmanager
@@ -87,7 +86,7 @@ def test_long_routes_are_spread_in_the_anti_join(spark):
     table = spark.range(n).selectExpr("if(id % 9 = 0, 'b', 'a') as ROUTEID", "int(id) as VERTEX_SEQ")
     ids = spark.createDataFrame([("b",)], ["ROUTEID"])
     with settings(spark, **SMALL, adaptive__coalescePartitions__enabled="false"):
-        kept = without_routes(table, ids)
+        kept = rt.join_ids(table, ids, "left_anti")
         per_task = kept.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in per_task) == table.where("ROUTEID = 'a'").count()
     assert len(per_task) >= 3

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chainage.contract import ContractError
 from chainage.operators import locate as loc
 from chainage.plans import catalog
-from chainage.plans.jobs import sync_routes
+from chainage.plans.jobs import index_for, sync_routes
 from chainage.plans.merge import merge_routes
 from chainage.plans.scratch import scratch_dir
 from chainage.plans.store import RouteStore
@@ -120,6 +120,7 @@ def test_location_on_a_stored_version(store, make_points, make_events):
     event = make_events([(1, "a", 5, 3)])
     assert loc.locate(event, store.latest().index()).first().DIST_TO_LRS == 6
     assert loc.locate(event, store.version(1).index()).first().DIST_TO_LRS == 3
+    assert loc.locate(event, index_for(store, event)).first().DIST_TO_LRS == 6
 
 
 def test_sync_of_selected_routes(spark, store):

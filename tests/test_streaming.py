@@ -10,7 +10,7 @@ LINE = [(0, 0, 0), (10, 0, 1), (20, 0, 2)]
 def run(spark, tmp_path, index, schema):
     query = locate_stream(
         read_event_stream(spark, str(tmp_path / "in"), schema, max_files=2),
-        lambda: index,
+        lambda batch: index,
         str(tmp_path / "out"),
         str(tmp_path / "progress"),
         crs=LAMBERT_WKT,
@@ -41,7 +41,7 @@ def test_a_retried_batch_overwrites_itself(spark, tmp_path, make_points, make_ev
     run(spark, tmp_path, index, events.schema)
     # without its progress the stream starts over at batch 0
     query = locate_stream(
-        read_event_stream(spark, str(tmp_path / "in"), events.schema), lambda: index,
+        read_event_stream(spark, str(tmp_path / "in"), events.schema), lambda batch: index,
         str(tmp_path / "out"), str(tmp_path / "progress2"), crs=LAMBERT_WKT,
     )
     query.awaitTermination()
