@@ -319,27 +319,21 @@ def compact_events(spark, sf):
 
 
 def pipeline_geojson(spark, sf):
-    """Documents on the working grid to located features, read back as a table."""
-    documents = fx.geojson_documents(spark, sf, broken=True)
-    answers = jobs.locate_geojson(
-        documents, _index(spark, sf), "doc_id", properties=fx.EVENT_PROPERTIES, crs=LAMBERT_WKT
-    )
-    values = F.from_json(
-        "feature",
-        "geometry struct<coordinates array<double>>, "
-        "properties struct<ROUTEID string, event_type string, MVAL double, DIST_TO_LRS double>",
-    )
-    read = answers.select("doc_id", "feature_index", values.alias("f"))
-    return read.select(
+    """Documents on the working grid to located documents, read back as a table."""
+    asked, located = "event_id bigint, ROUTEID string, event_type string", "MVAL double, DIST_TO_LRS double"
+    answers = geojson.to_collections(
+        jobs.locate_geojson(
+            fx.geojson_documents(spark, sf, broken=True),
+            _index(spark, sf),
+            "doc_id",
+            properties=asked,
+            crs=LAMBERT_WKT,
+        ),
         "doc_id",
         "feature_index",
-        F.get("f.geometry.coordinates", F.lit(0)).alias("LON"),
-        F.get("f.geometry.coordinates", F.lit(1)).alias("LAT"),
-        "f.properties.ROUTEID",
-        "f.properties.event_type",
-        F.round("f.properties.MVAL", 6).alias("MVAL"),
-        F.round("f.properties.DIST_TO_LRS", 6).alias("DIST_TO_LRS"),
     )
+    read = geojson.valid(geojson.features(answers), strict=True)
+    return _rounded(geojson.events(read, f"{asked}, {located}", keep=("doc_id",)))
 
 
 def pipeline_bulk(spark, sf):
@@ -443,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
                (user_id // 4) * 1000.0e0 + e.event_id % 6000 as LON, value as LAT,
                cast(json_extract(props, '$.k') as double) as k from events e"""
     sound = f"select * from ({features}) f where slot not in (7, 11, 13, 17)"
-    good_nearest = sql.nearest_of(sound, sql.POINTS, "doc_id, slot, event_type, LON, LAT")
+    good_nearest = sql.nearest_of(sound, sql.POINTS, "doc_id, event_id, event_type, LON, LAT")
     versions = f"""
         select 1 as VERSION, date '2024-01-01' as START_DATE, date '2024-02-01' as END_DATE,
                'survey' as AUTHOR, 'first' as COMMIT_MSG, count(*) as n_points,
@@ -568,7 +562,7 @@ def oracle_sql() -> dict[str, str]:
                    || '}}}}' as feature from ({sql.EVENTS}) e""",
         "compact_events": sql.EVENTS,
         "pipeline_geojson": f"""
-            select doc_id, slot as feature_index, LON, LAT, ROUTEID, event_type, {matched}
+            select doc_id, event_id, LON, LAT, ROUTEID, event_type, {matched}
             from ({good_nearest}) n""",
         "pipeline_bulk": f"""
             select event_id, ROUTEID as LINKID, round(m, 4) as MVAL, round(dist, 4) as DIST_TO_LRS

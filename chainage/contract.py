@@ -65,6 +65,24 @@ class ColumnMap:
             found["vertex_seq"] = explicit["vertex_seq"]
         return cls(**found)
 
+    @classmethod
+    def guess(cls, df: DataFrame) -> ColumnMap:
+        """Find the required columns of an unknown survey file by parts of their names."""
+        lower = {c: c.lower() for c in df.columns}
+
+        def having(*parts: str, also: tuple[str, ...] = ("",)) -> list[str]:
+            return [
+                c for c, n in lower.items() if any(p in n for p in parts) and any(a in n for a in also)
+            ]
+
+        # The name parts looked for; of several link ids the last counts.
+        routes = having("linkid", "link_id")[-1:] or having("id")[:1]
+        lats = having("lat", also=("sta", "from", "to"))
+        lons = having("lon", "lng")
+        if not (routes and lats and lons):
+            raise ContractError(f"no route, latitude and longitude columns among {df.columns}")
+        return cls(route_id=routes[0], lat=lats[0], lon=lons[0])
+
     def with_names(self, **names: str) -> ColumnMap:
         return replace(self, **names)
 

@@ -57,20 +57,11 @@ def depth_for(lo: int, hi: int) -> int:
     return depth
 
 
-def build_index(
-    segments: DataFrame, cols: ColumnMap = ColumnMap(), depth: int | None = None
-) -> RouteIndex:
-    """Index the output of :func:`chainage.operators.routes.segments`.
-
-    ``depth`` may be given when it is known, for instance from the stored
-    snapshot; any depth gives right results.
-    """
-    if depth is None:
-        depth = index_depth(segments, cols)
+def _slim(segments: DataFrame, cols: ColumnMap) -> DataFrame:
     block = F.col(BLOCK) if BLOCK in segments.columns else F.shiftright(cols.vertex_seq, BLOCK_BITS)
     slim = segments.select(
-        block.alias("block"),
         F.col(cols.route_id).alias("route"),
+        block.alias("block"),
         F.col(cols.vertex_seq).alias("seq"),
         F.col(cols.lon).alias("x0"),
         F.col(cols.lat).alias("y0"),
@@ -79,7 +70,11 @@ def build_index(
         F.col(f"{cols.lat}1").alias("y1"),
         F.col(f"{cols.m_value}1").alias("m1"),
     ).where("x0 is not null and y0 is not null and y1 is not null")
-    slim = slim.selectExpr("*", f"shiftright(seq, {FAN_BITS}) as node")
+    return slim.selectExpr("*", f"shiftright(seq, {FAN_BITS}) as node")
+
+
+def leaf_boxes(segments: DataFrame, cols: ColumnMap = ColumnMap()) -> DataFrame:
+    """One row per leaf: its box and a few of its vertices. Does not depend on the depth."""
     # Grouping also by block keeps the partitioning of the segment step. Each
     # vertex kept is the one nearest to its target offset; the order is
     # distinct within a leaf, so x and y are of one vertex.
@@ -89,13 +84,32 @@ def build_index(
         for name, target in SAMPLES.items()
         for c in "xy"
     ]
-    boxes = slim.groupBy("route", "block", "node").agg(
+    return _slim(segments, cols).groupBy("route", "block", "node").agg(
         F.expr("min(least(x0, x1)) as xmin"),
         F.expr("max(greatest(x0, x1)) as xmax"),
         F.expr("min(least(y0, y1)) as ymin"),
         F.expr("max(greatest(y0, y1)) as ymax"),
         *vertices,
     )
+
+
+def build_index(
+    segments: DataFrame,
+    cols: ColumnMap = ColumnMap(),
+    depth: int | None = None,
+    boxes: DataFrame | None = None,
+) -> RouteIndex:
+    """Index the output of :func:`chainage.operators.routes.segments`.
+
+    ``depth`` may be given when it is known, for instance from the stored
+    snapshot; any depth gives right results. So may ``boxes``, the stored
+    :func:`leaf_boxes` of the same segments.
+    """
+    if depth is None:
+        depth = index_depth(segments, cols)
+    slim = _slim(segments, cols).drop("block")
+    if boxes is None:
+        boxes = leaf_boxes(segments, cols)
     sampled = ", ".join(f"{name}x, {name}y" for name in SAMPLES)
     gathered = F.expr(f"collect_list(struct(node, xmin, xmax, ymin, ymax, {sampled})) as boxes")
     levels: list[DataFrame] = []
@@ -113,7 +127,7 @@ def build_index(
         levels.append(grouped.selectExpr("route", "parent as node", "boxes"))
         boxes = grouped.withColumnRenamed("parent", "node").drop("boxes")
         gathered = F.expr("collect_list(struct(node, xmin, xmax, ymin, ymax, vx, vy)) as boxes")
-    return RouteIndex((boxes.groupBy("route").agg(gathered), *reversed(levels)), slim.drop("block"))
+    return RouteIndex((boxes.groupBy("route").agg(gathered), *reversed(levels)), slim)
 
 
 def descend(places: DataFrame, index: RouteIndex, inside: bool = False) -> DataFrame:

@@ -184,6 +184,8 @@ def join_ids(
         spread = F.pmod(F.shiftright(cols.vertex_seq, BLOCK_BITS), F.lit(SALTS))
     elif "PART" in table.columns:
         spread = F.pmod("PART", F.lit(SALTS))
+    elif "block" in table.columns:
+        spread = F.pmod("block", F.lit(SALTS))
     else:
         return table.join(wanted, cols.route_id, how)
     offered = wanted.withColumn("_spread", F.explode(F.lit(list(range(SALTS)))))

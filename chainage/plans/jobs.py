@@ -19,7 +19,7 @@ from chainage.sources import esri, geojson
 def sync_routes(
     payloads: DataFrame,
     store: RouteStore,
-    as_of_date: date,
+    as_of_date: date | None = None,
     author: str = "",
     message: str = "",
     routes=None,

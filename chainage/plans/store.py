@@ -1,10 +1,11 @@
 """Versioned store of the three route tables on a plain file system.
 
-    <root>/points|segments|linestrings/commit=<id>/bucket=<n>/*.parquet
+    <root>/points|segments|linestrings|boxes/commit=<id>/bucket=<n>/*.parquet
     <root>/catalog/*.parquet
 
 Routes are hashed into buckets. A publish rewrites only the buckets its batch
-touches; the catalog row says, bucket by bucket, which commit holds the
+touches (``boxes``, the leaves of the box index, go with the segments); the
+catalog row says, bucket by bucket, which commit holds the
 version's rows. Data is written first and the catalog row last, so a failed
 publish leaves only folders no version refers to. One writer at a time.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainage.contract import ContractError
-from chainage.operators.index import RouteIndex, build_index, depth_for
-from chainage.operators.routes import linestrings, only_routes, segments
+from chainage.operators.index import SAMPLES, RouteIndex, build_index, depth_for, leaf_boxes
+from chainage.operators.routes import BLOCK, linestrings, only_routes, segments
 from chainage.plans import catalog
 from chainage.plans.merge import merge_routes
 from chainage.plans.scratch import scratch_dir
@@ -45,7 +46,17 @@ PUBLIC_COLUMNS = [
     "COMMIT_MSG",
 ]
 ONE_CATALOG = ["LRS_POINT_FILE"]
-TABLES = ("points", "segments", "linestrings")
+TABLES = ("points", "segments", "linestrings", "boxes")
+SCHEMAS = {
+    "points": "LAT double, LON double, MVAL double, VERTEX_SEQ int, ROUTEID string",
+    "segments": "ROUTEID string, LON double, LAT double, MVAL double, VERTEX_SEQ int, "
+    "LON1 double, LAT1 double, MVAL1 double, mvgradient double, c double",
+    "linestrings": "ROUTEID string, PART int, n_vertices int, "
+    "vertices array<struct<VERTEX_SEQ: int, LON: double, LAT: double, M: double>>",
+    "boxes": "ROUTEID string, block int, node int, xmin double, xmax double, ymin double, ymax double, "
+    + ", ".join(f"{name}{c} double" for name in SAMPLES for c in "xy"),
+}
+ORDER = {"linestrings": "PART", "boxes": "node"}
 
 
 @dataclass(frozen=True)
@@ -56,10 +67,12 @@ class RouteTables:
     points: DataFrame
     segments: DataFrame
     linestrings: DataFrame
+    boxes: DataFrame
     depth: int
 
     def index(self) -> RouteIndex:
-        return build_index(self.segments, depth=self.depth)
+        leaves = self.boxes.withColumnRenamed("ROUTEID", "route")
+        return build_index(self.segments, depth=self.depth, boxes=leaves)
 
 
 class RouteStore:
@@ -92,13 +105,15 @@ class RouteStore:
     def publish(
         self,
         batch: DataFrame,
-        as_of_date: date,
+        as_of_date: date | None = None,
         author: str = "",
         message: str = "",
         dense: bool = False,
     ) -> int:
         """Merge a batch of route vertices and make the result the next version.
 
+        ``as_of_date`` is the day the version starts, today if not given.
+
         The batch is written to the store once and read back, so it may come
         from any plan. A route delivered twice is refused.
         """
@@ -110,10 +125,13 @@ class RouteStore:
         route_columns(batch).withColumn("bucket", self._bucket()).write.parquet(staged_path)
         staged = self.spark.read.parquet(staged_path)
         touched, depth = self._check(staged)
+        parts = segments(staged, dense=dense, with_block=True)
+        leaves = leaf_boxes(parts).withColumnRenamed("route", "ROUTEID")
         new = {
             "points": staged,
-            "segments": segments(staged, dense=dense),
+            "segments": parts.drop(BLOCK),
             "linestrings": linestrings(staged).withColumn("bucket", self._bucket()),
+            "boxes": leaves.withColumn("bucket", self._bucket()),
         }
 
         def write(table: str) -> None:
@@ -122,10 +140,9 @@ class RouteStore:
                 live = [(c, b) for b, c in enumerate(before["BUCKET_COMMITS"]) if c and b in touched]
                 old = self._scan(table, live) if live else None
             merged = merge_routes(old, new[table], replaced=staged)
-            order = "PART" if table == "linestrings" else "VERTEX_SEQ"
             (
                 merged.hint("rebalance", "bucket")
-                .sortWithinPartitions("bucket", "ROUTEID", order)
+                .sortWithinPartitions("bucket", "ROUTEID", ORDER.get(table, "VERTEX_SEQ"))
                 .write.partitionBy("bucket")
                 .parquet(f"{self.root}/{table}/commit={commit}")
             )
@@ -136,8 +153,8 @@ class RouteStore:
         for b in touched:
             commits[b] = commit
         depth = max(depth, before["INDEX_DEPTH"] if before is not None else 1)
-        paths = [f"{self.root}/{t}" for t in TABLES]
-        row = (number, as_of_date, *paths, author, message, commits, depth)
+        paths = [f"{self.root}/{t}" for t in TABLES[:3]]
+        row = (number, as_of_date or date.today(), *paths, author, message, commits, depth)
         entry = self.spark.createDataFrame([row], CATALOG_SCHEMA)
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/catalog")
         return number
@@ -196,7 +213,8 @@ class RouteStore:
         wanted = [
             (F.col("commit") == c) & F.col("bucket").isin(b) for c, b in sorted(by_commit.items())
         ]
-        df = self.spark.read.parquet(f"{self.root}/{table}")
+        schema = f"{SCHEMAS[table]}, commit string, bucket int"
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
         return df.where(reduce(Column.__or__, wanted)).drop("commit")
 
     def _bucket(self) -> Column:

@@ -68,3 +68,12 @@ def test_numeric_route_ids(spark):
     half = spark.createDataFrame([(1.5, 1.0, 2.0)], "ROUTEID double, LAT double, LON double")
     with pytest.raises(Exception, match="fractional route id"):
         ColumnMap().conform(half).collect()
+
+
+def test_guessing_columns_by_name_parts(spark):
+    df = spark.createDataFrame([], "ID int, LINKID string, OLD_LINK_ID string, FROM_STA_LAT double, TO_STA_LAT double, LNG double")
+    assert ColumnMap.guess(df) == ColumnMap("OLD_LINK_ID", "FROM_STA_LAT", "LNG")
+    other = spark.createDataFrame([], "road_id string, stalat double, longitude double")
+    assert ColumnMap.guess(other) == ColumnMap("road_id", "stalat", "longitude")
+    with pytest.raises(ContractError):
+        ColumnMap.guess(spark.createDataFrame([], "a int"))

@@ -114,6 +114,16 @@ def test_one_vertex_routes_have_no_segment(store, make_points, make_events):
     assert store.version(1).segments.count() == 2
 
 
+def test_a_store_without_any_segment_can_be_read(store, make_points, make_events):
+    store.publish(make_points({"dot": A[:1]}), date(2024, 1, 1))
+    latest = store.latest()
+    assert (latest.points.count(), latest.segments.count()) == (1, 0)
+    assert loc.locate(make_events([(1, "dot", 5, 3)]), latest.index()).count() == 0
+    store.publish(make_points({"a": A}))
+    assert store.latest().segments.count() == 2
+    assert store.catalog().where("VERSION = 2").first().START_DATE == date.today()
+
+
 def test_location_on_a_stored_version(store, make_points, make_events):
     store.publish(make_points({"a": A}), date(2024, 1, 1))
     store.publish(make_points({"a": MOVED}), date(2024, 1, 2))
