@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -410,11 +412,40 @@ _QUERIES = (
 )
 
 
+def _llm():
+    """The module of the training-data queries; that subpackage may be absent."""
+    try:
+        from chainage.llm import queries as module
+    except ModuleNotFoundError as missing:
+        if (missing.name or "").split(".")[0] not in ("chainage", "corpus_pipeline"):
+            raise
+        return None
+    return module
+
+
+def _prepared(query):
+    """Lets Python tasks import this repository, wherever the session was started."""
+
+    @wraps(query)
+    def run(spark, sf):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+        return query(spark, sf)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    own = {q.__name__: q for q in _QUERIES}
+    more = _llm()
+    return {name: _prepared(q) for name, q in (own | (more.queries() if more else {})).items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    more = _llm()
+    return _own_sql() | (more.oracle_sql() if more else {})
+
+
+def _own_sql() -> dict[str, str]:
     nearest = sql.nearest_of(sql.EVENTS, sql.POINTS, "event_id, event_type, LON, LAT")
     matched = "round(m, 6) as MVAL, round(dist, 6) as DIST_TO_LRS"
     rounded = (
