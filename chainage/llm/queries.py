@@ -93,7 +93,7 @@ place AS (
   FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)
 ),
 met AS (SELECT rid, p, place.n, item FROM place JOIN item_window USING (span)),
-hit AS (SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS at FROM met) GROUP BY rid),
+hit AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS place FROM met) GROUP BY rid),
 listed AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid

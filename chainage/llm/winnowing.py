@@ -114,7 +114,7 @@ def _filter(anchors: DataFrame) -> np.ndarray:
 
     rows = anchors.select("anchor.size", "anchor.hash").distinct().coalesce(8)
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.mapInArrow(bitmap, "bits binary").toLocalIterator():
+    for r in rows.mapInArrow(bitmap, "bits binary").collect():
         bits |= np.frombuffer(r["bits"], np.uint8)
     return bits
 
