@@ -151,16 +151,16 @@ class _Grams:
     def __init__(self, row: dict, order: int):
         self.tokens = _unpack(row["tokens"], np.int32)
         self.lens = np.array(row["lens"], np.int64)
-        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
         self.predicted = self.tokens != START
         vocab = np.frombuffer(row["vocab"], np.uint64)
         place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
-        self.at, self.keys, self.context = [self.tokens.astype(np.int64)], [vocab], [None]
+        self.at, self.keys, self.context = [self.tokens], [vocab], [None]
         for k in range(1, order):
             below = self.at[-1]
-            at = np.full(len(self.tokens), -1, np.int64)
+            at = np.full(len(self.tokens), -1, np.int32)
             where = np.flatnonzero(place >= k)
-            pairs = below[where - 1] * len(vocab) + self.tokens[where]
+            pairs = below[where - 1].astype(np.int64) * len(vocab) + self.tokens[where]
             found, at[where] = np.unique(pairs, return_inverse=True)
             self.context.append(found // len(vocab))
             last = vocab[found % len(vocab)]
@@ -299,7 +299,7 @@ def _deleted_rows(blocks, answers, order, buckets, main_tokens) -> DataFrame:
             # One row stands for all positions with the same n-grams of every order.
             top = np.zeros(len(grams.tokens), np.int64)
             for at in grams.at:
-                top = np.unique(top * (at.max() + 2) + at + 1, return_inverse=True)[1]
+                top = np.unique(top * (int(at.max(initial=0)) + 2) + at + 1, return_inverse=True)[1]
             _, first, times = np.unique(
                 top[grams.predicted], return_index=True, return_counts=True
             )
@@ -415,7 +415,7 @@ def score_documents(
     folds: int = 7,
     fold: int = 2,
     em_steps: int = 12,
-    block_bytes: int = 24 << 20,
+    block_bytes: int = 10 << 20,
     bucket_tokens: int = 3_000_000,
 ) -> DataFrame:
     """Scores every document; learns from those outside ``fold``.
