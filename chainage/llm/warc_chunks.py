@@ -251,8 +251,8 @@ def read_archives(archives: DataFrame, size: int = CHUNK, with_data: bool = True
                             out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    # As many tasks as archives, up to the session's usual number.
-    return archives.select("path").repartition("path").mapInArrow(read, READ)
+    # A number that is given is kept, so small lists aren't merged into one task.
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, READ)
 
 
 def archived(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", size: int = CHUNK) -> DataFrame:
