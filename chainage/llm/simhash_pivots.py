@@ -183,7 +183,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component, that with its smallest id; of repeated rows with this id, one."""
     found = near_duplicates(docs, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("first")).distinct()
-    rows = wrapped(docs, F.col("doc_id").cast("bigint").alias("id"))
-    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["id"])
+    # One key that is never null: the join and the choice among repeated rows then share one shuffle of the texts.
+    id_of = lambda c: F.coalesce(F.col(c).cast("bigint").cast("string"), F.lit("null"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_of("component_id").alias("id")).distinct()
+    rows = wrapped(docs, id_of("doc_id").alias("id"))
+    chosen = rows.join(kept, "id", "left_semi").dropDuplicates(["id"])
     return unwrapped(chosen, docs.columns)
