@@ -66,7 +66,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         .filter("good")
         .select("trusted_id")
     )
-    rows = _rows(docs).join(trusted, F.col("doc_id") == F.col("trusted_id"), "left").select(
+    # Labels grow with the corpus: the plan is the same for every size, not a broadcast that ends one day.
+    rows = _rows(docs).join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left").select(
         F.col("trusted_id").isNotNull().alias("trusted"), "text"
     )
 
