@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import date
 from functools import wraps
@@ -34,7 +35,7 @@ ROUNDING = {"MVAL": 6, "DIST_TO_LRS": 6}
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return mvalue(spark, "/root/testdata/sf0.001")
+    return _prepared(mvalue)(spark, "/root/testdata/sf0.001")
 
 
 def _index(spark: SparkSession, sf: str) -> RouteIndex:
@@ -130,6 +131,31 @@ def linestrings(spark, sf):
     )
 
 
+def linestring_parts(spark, sf):
+    """Parts of 128 vertices, and whether the whole route has a measure."""
+    bare = fx.points(spark, sf).withColumn("MVAL", F.when(F.col("VERTEX_SEQ") < 100, F.col("MVAL")))
+    lines = rt.with_has_m(rt.linestrings(bare, bits=7))
+    return lines.select("ROUTEID", "PART", "n_vertices", "has_m")
+
+
+def mvalue_own_names(spark, sf):
+    """Columns named like the library's own, some rows without coordinates."""
+    events = fx.events(spark, sf).select(
+        "event_id", "ROUTEID",
+        F.when(F.col("event_id") % 10 != 0, F.col("LON")).alias("X"), F.col("LAT").alias("Y"),
+        *[F.col("event_id").alias(c) for c in ("m", "dist", "hit", "route", "node", "_x", "a.b")],
+    )
+    names = ColumnMap(lon="X", lat="Y")
+    return _rounded(loc.locate(events, _index(spark, sf), names, unmatched="keep", matched_flag="MATCHED"))
+
+
+def catalog_files(spark, sf):
+    """The rows of the first of two versions, by the paths that the catalog lists."""
+    store = _two_versions(spark, sf)
+    paths = store.catalog().where("VERSION = 1").first()["LRS_POINT_FILE"]
+    return tables.route_columns(store.listed("points", paths))
+
+
 def linestring_wkt(spark, sf):
     return rt.with_wkt(rt.linestrings(fx.points(spark, sf))).drop("vertices")
 
@@ -139,7 +165,7 @@ def has_m(spark, sf):
     bare = fx.points(spark, sf).withColumn(
         "MVAL", F.when(F.col("ROUTEID").cast("bigint") % 2 == 0, F.col("MVAL"))
     )
-    return rt.with_has_m(rt.linestrings(bare)).select("ROUTEID", "has_m")
+    return rt.route_has_m(bare)
 
 
 def route_filter_one(spark, sf):
@@ -377,6 +403,9 @@ _QUERIES = (
     segments,
     linestrings,
     linestring_wkt,
+    linestring_parts,
+    mvalue_own_names,
+    catalog_files,
     has_m,
     route_filter_one,
     route_filter_in,
@@ -424,11 +453,16 @@ def _llm():
 
 
 def _prepared(query):
-    """Lets Python tasks import this repository, wherever the session was started."""
+    """Lets Python tasks import this repository, and names a shared folder where one machine is all there is."""
 
     @wraps(query)
     def run(spark, sf):
-        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+        context = spark.sparkContext
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and context.master.startswith("local["):
+            # One machine only; on a cluster the library asks for a shared folder.
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         return query(spark, sf)
 
     return run
@@ -525,6 +559,18 @@ def _own_sql() -> dict[str, str]:
                    arg_min(LON, VERTEX_SEQ) as first_lon, arg_max(LON, VERTEX_SEQ) as last_lon,
                    round(sum(LAT), 3) as sum_lat from ({sql.POINTS}) p group by ROUTEID""",
         "linestring_wkt": sql.wkt_of(sql.POINTS),
+        "linestring_parts": f"""
+            select ROUTEID, cast(VERTEX_SEQ // 128 as int) as PART, cast(count(*) as int) as n_vertices, true as has_m
+            from ({sql.POINTS}) p group by all""",
+        "mvalue_own_names": f"""
+            select e.event_id, e.ROUTEID, case when e.event_id % 10 <> 0 then e.LON end as "X", e.LAT as "Y",
+                   e.event_id as m, e.event_id as dist, e.event_id as hit, e.event_id as route, e.event_id as node,
+                   e.event_id as _x, e.event_id as "a.b",
+                   n.event_id is not null and e.event_id % 10 <> 0 as MATCHED,
+                   case when e.event_id % 10 <> 0 then round(coalesce(n.m, 0), 6) else 0 end as MVAL,
+                   case when e.event_id % 10 <> 0 then round(n.dist, 6) end as DIST_TO_LRS
+            from ({sql.EVENTS}) e left join ({nearest}) n on e.event_id = n.event_id""",
+        "catalog_files": sql.POINTS,
         "has_m": f"""
             select ROUTEID, cast(ROUTEID as bigint) % 2 = 0 as has_m from ({sql.POINTS}) p
             group by ROUTEID""",

@@ -147,6 +147,11 @@ def route_key(df: DataFrame, name: str) -> Column:
         return F.when(
             value.isNull() | (value == whole.cast("double")), whole.cast("string")
         ).otherwise(F.raise_error(F.lit(f"fractional route id in column {name}")).cast("string"))
+    if isinstance(kind, T.DecimalType):
+        whole = F.floor(value)
+        return F.when(value.isNull() | (value == whole), whole.cast("string")).otherwise(
+            F.raise_error(F.lit(f"fractional route id in column {name}")).cast("string")
+        )
     return value.cast("string")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainage.contract import ColumnMap, ContractError, route_key
+from chainage.contract import ColumnMap, ContractError, _quoted, route_key
 from chainage.functions.measure import box_gap2, fraction_along, interpolate_measure
 from chainage.functions.projection import GEOGRAPHIC, LAMBERT_WKT, check_crs, to_grid
 from chainage.operators.events import require_rows
@@ -76,33 +76,47 @@ def locate(
     if unmatched not in ("drop", "keep"):
         raise ContractError("unmatched must be 'drop' or 'keep'")
     cols.require(events)
-    kept = [c for c in events.columns if c not in (cols.m_value, cols.distance)]
+    # The caller's columns travel in one struct, so no name of theirs meets ours.
     # Grouping and joining treat NaN as equal to itself, null not. The hash is a
     # key of its own so that both join sides are shuffled afresh, which lets
     # adaptive execution split a place that very many events share.
-    keyed = events.select(
-        *kept,
-        route_key(events, cols.route_id).alias("_route"),
-        F.coalesce(F.col(cols.lon).cast("double"), F.lit(NAN)).alias("_x"),
-        F.coalesce(F.col(cols.lat).cast("double"), F.lit(NAN)).alias("_y"),
-    ).selectExpr("*", "xxhash64(_route, _x, _y) as _place")
-    places = keyed.selectExpr("_route as route", "_x as x", "_y as y")
-    found = nearest_on_route(
-        places.where("route is not null").distinct(), index, to_working
-    ).selectExpr(
+    kept = [c for c in events.columns if c not in (cols.m_value, cols.distance)]
+    keyed = _keyed(events, kept, cols.route_id, cols.lon, cols.lat)
+    found = nearest_on_route(_distinct_places(keyed), index, to_working).selectExpr(
         "xxhash64(route, x, y) as _place", "route as _route", "x as _x", "y as _y", "dist", "m",
-        "cx", "cy", "true as hit",
-    ).alias("found")
+        "cx", "cy",
+    )
     how = "inner" if unmatched == "drop" else "left"
     joined = keyed.join(found, ["_place", "_route", "_x", "_y"], how)
-    result = [F.expr("found.m" if unmatched == "drop" else "coalesce(found.m, 0D)").alias(cols.m_value)]
-    result.append(F.col("found.dist").alias(cols.distance))
+    result = [F.expr("m" if unmatched == "drop" else "coalesce(m, 0D)").alias(cols.m_value)]
+    result.append(F.col("dist").alias(cols.distance))
     extra = []
     if closest:
-        extra += [F.col("found.cx").alias(closest[0]), F.col("found.cy").alias(closest[1])]
+        extra += [F.col("cx").alias(closest[0]), F.col("cy").alias(closest[1])]
     if matched_flag:
-        extra.append(F.expr("found.hit is not null").alias(matched_flag))
-    return joined.select(*kept, *extra, *result)
+        # A known route is not enough: without coordinates there is no distance.
+        extra.append(F.expr("dist is not null").alias(matched_flag))
+    return joined.select(*_own(kept), *extra, *result)
+
+
+def _keyed(events: DataFrame, kept: list[str], route: str, x: str, y: str) -> DataFrame:
+    """The kept columns as one struct, and the place that each row is searched by."""
+    own = F.struct(*[F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)])
+    return events.select(
+        own.alias("_own"),
+        route_key(events, route).alias("_route"),
+        F.coalesce(F.col(_quoted(x)).cast("double"), F.lit(NAN)).alias("_x"),
+        F.coalesce(F.col(_quoted(y)).cast("double"), F.lit(NAN)).alias("_y"),
+    ).selectExpr("*", "xxhash64(_route, _x, _y) as _place")
+
+
+def _distinct_places(keyed: DataFrame) -> DataFrame:
+    places = keyed.selectExpr("_route as route", "_x as x", "_y as y")
+    return places.where("route is not null").distinct()
+
+
+def _own(kept: list[str]) -> list[Column]:
+    return [F.col(f"_own.c{i}").alias(c) for i, c in enumerate(kept)]
 
 
 def shortest_line(
@@ -126,21 +140,19 @@ def box_candidates(
     (null on a segment without length). The index is walked by containment,
     so only segments near the place are compared.
     """
-    keyed = places.withColumns(
-        {
-            "route": route_key(places, cols.route_id),
-            "x": F.coalesce(F.col(x), F.lit(NAN)),
-            "y": F.coalesce(F.col(y), F.lit(NAN)),
-        }
-    )
-    leaves = descend(keyed, index, inside=True).where("node is not null")
+    keyed = _keyed(places, places.columns, cols.route_id, x, y)
+    leaves = descend(_distinct_places(keyed), index, inside=True).where("node is not null")
     pairs = leaves.join(index.segments, ["route", "node"])
     inside = pairs.where(
         "x between least(x0, x1) and greatest(x0, x1) and y between least(y0, y1) and greatest(y0, y1)"
     )
     m_at = interpolate_measure("m0", "m1", "x0", "y0", "x1", "y1", "x", "y")
-    return inside.select(
-        *places.columns, F.col("seq").alias(cols.vertex_seq), F.expr(m_at).alias("M_AT")
+    found = inside.selectExpr(
+        "xxhash64(route, x, y) as _place", "route as _route", "x as _x", "y as _y", "seq", f"{m_at} as m_at"
+    )
+    joined = keyed.join(found, ["_place", "_route", "_x", "_y"])
+    return joined.select(
+        *_own(places.columns), F.col("seq").alias(cols.vertex_seq), F.col("m_at").alias("M_AT")
     )
 
 

@@ -111,10 +111,12 @@ def segments(
 LINE_BITS = 16
 
 
-def linestrings(points: DataFrame, cols: ColumnMap = ColumnMap()) -> DataFrame:
+def linestrings(
+    points: DataFrame, cols: ColumnMap = ColumnMap(), bits: int | None = None
+) -> DataFrame:
     """One row per route and part: ROUTEID, PART, n_vertices, vertices.
 
-    A part holds at most 2^16 consecutive vertices, so a road of ordinary
+    A part holds at most 2^``bits`` consecutive vertices (2^16 if not given), so a road of ordinary
     length is one row. A longer route continues in further parts; each of them
     ends with the first vertex of the next, so the parts join without a gap.
     """
@@ -127,7 +129,7 @@ def linestrings(points: DataFrame, cols: ColumnMap = ColumnMap()) -> DataFrame:
         F.col(cols.m_value).alias("M"),
     )
     return (
-        close_blocks(slim, cols, bits=LINE_BITS)
+        close_blocks(slim, cols, bits=LINE_BITS if bits is None else bits)
         .groupBy(F.col(cols.route_id).alias("ROUTEID"), F.col(BLOCK).alias("PART"))
         .agg(
             F.count_if(~F.col(EDGE)).cast("int").alias("n_vertices"),
@@ -149,8 +151,18 @@ def with_wkt(lines: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def with_has_m(lines: DataFrame) -> DataFrame:
-    """Add ``has_m``: does any vertex carry a measure."""
-    return lines.withColumn("has_m", F.exists("vertices", lambda v: v["M"].isNotNull()))
+    """Add ``has_m``: does any vertex of the route, in whichever part, carry a measure."""
+    some = F.exists("vertices", lambda v: v["M"].isNotNull())
+    per_route = lines.groupBy("ROUTEID").agg(F.max(some).alias("has_m"))
+    return lines.join(per_route, "ROUTEID")
+
+
+def route_has_m(points: DataFrame, cols: ColumnMap = ColumnMap()) -> DataFrame:
+    """ROUTEID and has_m of every route, straight from its vertices."""
+    cols.require(points, cols.m_value)
+    return points.groupBy(F.col(cols.route_id).alias("ROUTEID")).agg(
+        F.bool_or(F.col(cols.m_value).isNotNull()).alias("has_m")
+    )
 
 
 def only_routes(table: DataFrame, routes, cols: ColumnMap = ColumnMap()) -> DataFrame:

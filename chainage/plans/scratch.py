@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,14 +10,8 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under the cluster's checkpoint folder.
-
-    The folder is read from the session. Only where none is named, as in tests
-    on one machine, a temporary folder is set for the session.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get(SETTING, None) or context.getCheckpointDir()
+    """A new path under the cluster's checkpoint folder, which the session must name."""
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-        base = context.getCheckpointDir()
+        raise ValueError(f"{SETTING} must name a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,13 +1,17 @@
 """Versioned store of the three route tables on a plain file system.
 
     <root>/points|segments|linestrings|boxes/commit=<id>/bucket=<n>/*.parquet
-    <root>/catalog/*.parquet
+    <root>/catalog/version=<n>/*.parquet
+    <root>/staged/<id>/*.parquet
 
 Routes are hashed into buckets. A publish rewrites only the buckets its batch
 touches (``boxes``, the leaves of the box index, go with the segments); the
 catalog row says, bucket by bucket, which commit holds the
-version's rows. Data is written first and the catalog row last, so a failed
-publish leaves only folders no version refers to. One writer at a time.
+version's rows; the number of buckets is that list's length, and a store keeps
+the number it was made with. Paths in the catalog are relative to the root.
+Data is written first and the catalog row last, into a folder of its version
+that must not exist, so a failed publish leaves only folders no version refers
+to, and of two writers of one version the second fails.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from chainage.operators.index import SAMPLES, RouteIndex, build_index, depth_for
 from chainage.operators.routes import BLOCK, linestrings, only_routes, segments
 from chainage.plans import catalog
 from chainage.plans.merge import merge_routes
-from chainage.plans.scratch import scratch_dir
 from chainage.sources.tables import route_columns
 
 CATALOG_SCHEMA = (
@@ -45,7 +48,8 @@ PUBLIC_COLUMNS = [
     "AUTHOR",
     "COMMIT_MSG",
 ]
-ONE_CATALOG = ["LRS_POINT_FILE"]
+#: A store has one catalog, however its root is spelt; there is one row for each version.
+ONE_CATALOG: list[str] = []
 TABLES = ("points", "segments", "linestrings", "boxes")
 SCHEMAS = {
     "points": "LAT double, LON double, MVAL double, VERTEX_SEQ int, ROUTEID string",
@@ -76,10 +80,18 @@ class RouteTables:
 
 
 class RouteStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """``buckets`` counts for a new store (64 if not given); for others it must be theirs."""
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
+        self.asked, self.buckets = buckets, buckets or 64
+
+    def _adopt(self, row) -> None:
+        """Takes the number of buckets from a catalog row."""
+        stored = len(row["BUCKET_COMMITS"])
+        if self.asked not in (None, stored):
+            raise ContractError(f"the store has {stored} buckets, not {self.asked}")
+        self.buckets = stored
 
     # -- catalog ---------------------------------------------------------
 
@@ -120,8 +132,13 @@ class RouteStore:
         rows = self._rows()
         before = rows.orderBy(F.desc("VERSION")).limit(1).first()
         number = 1 if before is None else before["VERSION"] + 1
+        start = as_of_date or date.today()
+        if before is not None:
+            self._adopt(before)
+            if start < before["START_DATE"]:
+                raise ContractError(f"version {number} would start before version {number - 1}")
         commit = f"{number:06d}-{uuid.uuid4().hex[:12]}"
-        staged_path = scratch_dir(self.spark, "staged")
+        staged_path = f"{self.root}/staged/{commit}"
         route_columns(batch).withColumn("bucket", self._bucket()).write.parquet(staged_path)
         staged = self.spark.read.parquet(staged_path)
         touched, depth = self._check(staged)
@@ -153,10 +170,16 @@ class RouteStore:
         for b in touched:
             commits[b] = commit
         depth = max(depth, before["INDEX_DEPTH"] if before is not None else 1)
-        paths = [f"{self.root}/{t}" for t in TABLES[:3]]
-        row = (number, as_of_date or date.today(), *paths, author, message, commits, depth)
+        folders = [(c, b) for b, c in enumerate(commits) if c]
+        paths = [",".join(f"{t}/commit={c}/bucket={b}" for c, b in folders) for t in TABLES[:3]]
+        row = (number, start, *paths, author, message, commits, depth)
         entry = self.spark.createDataFrame([row], CATALOG_SCHEMA)
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/catalog")
+        try:
+            entry.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/catalog/version={number}")
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise ContractError(f"another publish has made version {number}") from err
         return number
 
     def _check(self, staged: DataFrame) -> tuple[list[int], int]:
@@ -181,10 +204,16 @@ class RouteStore:
 
     # -- reading ---------------------------------------------------------
 
+    def listed(self, table: str, paths: str) -> DataFrame:
+        """The rows that a catalog column of paths leads to, such as ``points`` by LRS_POINT_FILE."""
+        pairs = [p.split("commit=", 1)[1].split("/bucket=") for p in paths.split(",")]
+        return self._scan(table, [(c, int(b)) for c, b in pairs]).drop("bucket")
+
     def _rows(self) -> DataFrame:
         """Catalog rows; only a catalog that does not exist yet counts as empty."""
         try:
-            return self.spark.read.schema(CATALOG_SCHEMA).parquet(f"{self.root}/catalog")
+            reader = self.spark.read.schema(CATALOG_SCHEMA).option("recursiveFileLookup", "true")
+            return reader.parquet(f"{self.root}/catalog")
         except AnalysisException as err:
             if err.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -194,6 +223,7 @@ class RouteStore:
         row = entry.first()
         if row is None:
             raise ContractError("no active catalog entry found")
+        self._adopt(row)
         live = [(c, b) for b, c in enumerate(row["BUCKET_COMMITS"]) if c]
         if isinstance(routes, (str, list, tuple)):
             ids = [routes] if isinstance(routes, str) else list(routes)
@@ -214,7 +244,9 @@ class RouteStore:
             (F.col("commit") == c) & F.col("bucket").isin(b) for c, b in sorted(by_commit.items())
         ]
         schema = f"{SCHEMAS[table]}, commit string, bucket int"
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        # Only the commits that this version refers to are listed.
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
+        df = reader.parquet(*[f"{self.root}/{table}/commit={c}" for c in sorted(by_commit)])
         return df.where(reduce(Column.__or__, wanted)).drop("commit")
 
     def _bucket(self) -> Column:

@@ -75,7 +75,8 @@ def test_unmatched_and_null_coordinates(make_points, make_events):
     assert (dropped[1].MVAL, dropped[1].DIST_TO_LRS) == (None, None)
     kept = located(events, points, unmatched="keep", matched_flag="HIT")
     assert [kept[k].MVAL for k in (1, 2, 3, 4, 5)] == [0, 0, 0, 5.5, 0]
-    assert [kept[k].HIT for k in (1, 2, 3, 4, 5)] == [True, False, False, True, False]
+    # Without coordinates there is no distance, so nothing was matched.
+    assert [kept[k].HIT for k in (1, 2, 3, 4, 5)] == [False, False, False, True, False]
     assert kept[2].DIST_TO_LRS is None
 
 
