@@ -2,8 +2,9 @@
 
 Words and word pairs of every text are hashed into a fixed number of buckets. Two multinomials over the buckets are
 estimated with add-one smoothing: the target from the trusted documents (labelled good and not toxic), the raw one from
-all documents. A text's ratio is the mean of log(target / raw) over its n-grams, so it does not depend on length. A text is
-kept if its ratio reaches the threshold; no document is drawn by chance.
+all documents. The raw counts are first scaled to the target's total, so that smoothing weighs alike on both and an unseen
+bucket has ratio 0 at every size of the corpus. A text's ratio is the mean of log(target / raw) over its n-grams, so it
+does not depend on length. A text is kept if its ratio reaches the threshold; no document is drawn by chance.
 
 Counts of all documents are summed in Spark (each task gives one sum per bucket it met, then a grouped sum); the driver
 gets two numbers for each of the ``BUCKETS`` buckets, whatever the size of the corpus. Labels meet documents in one join on
@@ -93,9 +94,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     total = np.zeros((2, BUCKETS))
     at = sums["bucket"].to_numpy()
     total[0, at], total[1, at] = sums["target"].to_numpy(), sums["raw"].to_numpy()
-    if not total[0].sum():
+    size = total.sum(1)
+    if not size[0]:
         return np.zeros(BUCKETS)
-    target, raw = (total + 1) / (total.sum(1, keepdims=True) + BUCKETS)
+    target, raw = total[0] + 1, total[1] * (size[0] / size[1]) + 1
     return np.log(target / raw)
 
 

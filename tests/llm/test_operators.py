@@ -475,7 +475,6 @@ def test_quality_counts_equal_brute_force(spark, docs, empty):
     assert llr.judge(empty, labels).count() == 0 and llr.judge(docs, labels.limit(0)).filter("ratio != 0").count() == 0
 
 
-@pytest.mark.xfail(reason="open: with far fewer n-grams than buckets, smoothing pushes good texts below the threshold")
 def test_ratio_tells_trusted_from_other_texts(spark):
     good, bad = "the cat sat on a tree and saw the dog run {} {}", "BUY!! NOW!! ### click$$$ here!! for *** free!! stuff!! {} {} !! now$$$"
     rows = [(i, (bad if i % 4 == 0 else good).format(i, i * 7)) for i in range(800)]
