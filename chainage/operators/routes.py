@@ -178,7 +178,7 @@ def only_routes(table: DataFrame, routes, cols: ColumnMap = ColumnMap()) -> Data
         return join_ids(table, routes.select(cols.route_id), "left_semi", cols)
     ids = list(routes)
     if len(ids) > MAX_IN_LIST:
-        wanted = table.sparkSession.createDataFrame([(i,) for i in ids], [cols.route_id])
+        wanted = table.sparkSession.createDataFrame([(i,) for i in ids], f"`{cols.route_id}` string")
         return join_ids(table, wanted, "left_semi", cols)
     return table.where(key.isin(ids))
 

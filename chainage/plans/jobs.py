@@ -5,13 +5,13 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chainage.contract import ColumnMap
 from chainage.functions.projection import GEOGRAPHIC
 from chainage.operators.events import event_route_ids
 from chainage.operators.index import RouteIndex
 from chainage.operators.locate import calculate_m_value
+from chainage.operators.routes import only_routes
 from chainage.plans.store import RouteStore
 from chainage.sources import esri, geojson
 
@@ -25,10 +25,10 @@ def sync_routes(
     routes=None,
     mode: str = "fail",
 ) -> int:
-    """Landed payloads to a new version: all routes, or the selected ones only."""
+    """Landed payloads to a new version: all routes, or the selected ones only (an id, a list or a table of ids)."""
     parsed = esri.features(payloads)
     if routes is not None:
-        parsed = parsed.where(F.col("ROUTEID").isin([routes] if isinstance(routes, str) else list(routes)))
+        parsed = only_routes(parsed, routes)
     vertices = esri.points(parsed, mode=mode)
     return store.publish(vertices, as_of_date, author, message, dense=True)
 

@@ -51,7 +51,7 @@ def features(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
     problem = (
         F.when(F.col("feature_index").isNull(), "payload is not readable or has no features")
-        .when(F.coalesce(F.size("paths"), F.lit(0)) <= 0, "missing or invalid paths")
+        .when(F.coalesce(F.size(F.flatten("paths")), F.lit(0)) <= 0, "missing or invalid paths")
         .when(F.col("ROUTEID").isNull(), "missing or invalid LINKID")
         .when(F.col("wkt").isNull(), "missing or invalid wkt")
         .when(~(F.col("wkt") == LAMBERT_WKT) & ~_geographic(F.col("wkt")), "unsupported CRS")

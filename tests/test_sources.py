@@ -41,6 +41,8 @@ def test_paths_join_and_ordinates_fill_up(spark):
     ("page", "reason"),
     [
         (payload(feature([], LINKID="a")), "paths"),
+        (payload(feature([[]], LINKID="a")), "paths"),
+        (payload(feature([[], None], LINKID="a")), "paths"),
         (payload(feature([[[1, 2, 3]]], LINKID=5)), "LINKID"),
         (payload(feature([[[1, 2, 3]]])), "LINKID"),
         (payload(feature([[[1, 2, 3]]], LINKID="a"), wkt="", wkt2=""), "wkt"),

@@ -142,6 +142,10 @@ def test_sync_of_selected_routes(spark, store):
     assert {r.ROUTEID for r in store.latest().points.collect()} == {"b"}
     sync_routes(pages, store, date(2024, 1, 2))
     assert store.latest().points.count() == 4
+    moved = spark.createDataFrame([(page.replace("[1, 1, 1]", "[2, 2, 2]"),)], ["payload"])
+    ids = spark.createDataFrame([("a",), ("a",), ("unknown",)], "ROUTEID string")
+    sync_routes(moved, store, date(2024, 1, 3), routes=ids)
+    assert {(r.ROUTEID, r.LON) for r in store.latest().points.collect()} == {("a", 0), ("a", 2), ("b", 0), ("b", 1)}
 
 
 def test_catalog_functions(spark):
