@@ -15,8 +15,8 @@ gives a forest of links, not all pairs, and never more links than rows.
 Copies share a fingerprint, and only distinct fingerprints take part, so large groups of copies cost nothing
 here. Components are found by ``components``.
 
-Nulls and texts without words have fingerprint 0, which links like any other. Repeated rows are kept. A null
-``doc_id`` is never a component's id unless all its documents have none.
+Nulls and texts without words have fingerprint 0, which links like any other. ``near_duplicates`` returns repeated
+rows as often as they come. A null ``doc_id`` is never a component's id unless all its documents have none.
 """
 
 from __future__ import annotations
@@ -56,16 +56,19 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row; ``fp`` is the fingerprint as a signed number."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``doc_id, fp`` of every row, and ``key`` if one is given; ``fp`` is the fingerprint as a signed number."""
 
     def made(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fp.view(np.int64)), *batch.columns[1:]], ["fp", *batch.schema.names[1:]]
+            )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(made, "doc_id bigint, fp bigint")
+    own = [] if key is None else [key.cast("string").alias("key")]
+    rows = docs.select(text_bytes().alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *own)
+    return rows.mapInArrow(made, "fp bigint, doc_id bigint" + (", key string" if own else ""))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
@@ -165,14 +168,19 @@ def links(fps: DataFrame, radius: int = RADIUS, cell_rows: int = 64, part_rows:
     )
 
 
+def _members(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct`` with ``head``, one fingerprint of its component, instead of all links."""
+    found = components(stored(links(distinct.select("fp"), radius), "pairs"))
+    return distinct.join(found, distinct["fp"] == found["u"], "left").select(
+        "fp", "least", F.coalesce("v", "fp").alias("head")
+    )
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     rows = stored(fingerprints(docs), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(stored(links(distinct.select("fp"), radius), "pairs"))
-    member = distinct.join(found, distinct["fp"] == found["u"], "left").select(
-        "fp", "least", F.coalesce("v", "fp").alias("head")
-    )
+    member = _members(distinct, radius)
     heads = member.groupBy("head").agg(F.min("least").alias("component_id"))
     named = member.join(heads, "head").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -181,11 +189,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, that with its smallest id; of repeated rows with this id, one."""
-    found = near_duplicates(docs, radius)
-    # One key that is never null: the join and the choice among repeated rows then share one shuffle of the texts.
-    id_of = lambda c: F.coalesce(F.col(c).cast("bigint").cast("string"), F.lit("null"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_of("component_id").alias("id")).distinct()
-    rows = wrapped(docs, id_of("doc_id").alias("id"))
-    chosen = rows.join(kept, "id", "left_semi").dropDuplicates(["id"])
+    """One row of each component, that with its smallest id; a null id comes after all others.
+
+    Rows are told apart by id and text, so texts that differ too much are both kept if they share an id or have none.
+    Of rows that agree in both, one is kept.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), F.md5(text_bytes()))
+    rows = fingerprints(docs, key)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    distinct = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "distinct")
+    heads = _members(distinct, radius).groupBy("head").agg(F.min("least").alias("least"))
+    # The join and the choice among repeated rows share one shuffle of the texts.
+    kept = heads.select(F.col("least.key").alias("id"))
+    chosen = wrapped(docs, key.alias("id")).join(kept, "id", "left_semi").dropDuplicates(["id"])
     return unwrapped(chosen, docs.columns)

@@ -188,6 +188,16 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i in least.values() if i is not None})
 
 
+def test_texts_without_or_with_equal_ids_are_not_duplicates(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(7)]
+    ids = [None, None, 5, 5, 5, None, 8]
+    rows = [(i, t, "en", "s", 0, "h", 1) for i, t in zip(ids, [*texts[:4], texts[3], texts[6], texts[6]], strict=True)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[6])]
+    assert sorted((text_key(r.doc_id), r.text) for r in kept) == sorted((text_key(i), t) for i, t in want)
+
+
 @pytest.mark.parametrize("cell_rows, part_rows", [(64, 4096), (1, 4096), (100_000, 16)])
 def test_links_connect_all_within_the_radius(spark, cell_rows, part_rows):
     """Also where cells are finer, and where large cells are cut into parts."""
