@@ -99,26 +99,31 @@ def _part(kind, canonical) -> Column:
     return F.struct(F.concat(kind, F.lit("|"), canonical).alias("entity"))["entity"]
 
 
-def _given_kind(x: Column) -> Column:
-    gender = F.when(x.rlike(rf"^(?:{TITLES['m']})\.? "), "m").when(x.rlike(rf"^(?:{TITLES['f']})\.? "), "f").otherwise("n")
+def _given_kind(prefix: Column) -> Column:
+    gender = F.when(prefix.rlike(rf"^(?:{TITLES['m']})\.? "), "m").when(prefix.rlike(rf"^(?:{TITLES['f']})\.? "), "f").otherwise("n")
     return F.concat(F.lit("given-"), gender)
 
 
-def _separated(x: Column) -> Column:
+def _read(x: Column) -> Column:
+    """The parts of a finding. Later steps use these fields, so that no step holds another's expression many times over."""
+    return F.struct(_prefix(x).alias("prefix"), _core(x).alias("core"), _kind(x).alias("kind"))
+
+
+def _separated(p: Column) -> Column:
     """Only these kinds ignore signs."""
-    return _kind(x).isin("card", "phone", "ssn", "iban")
+    return p["kind"].isin("card", "phone", "ssn", "iban")
 
 
-def _entities(x: Column) -> Column:
+def _entities(p: Column) -> Column:
     """The entities of a finding, each as its kind, a bar and its canonical form."""
-    core, kind = _core(x), _kind(x)
+    core, kind = p["core"], p["kind"]
     names = F.split(core, " ")
-    canonical = F.when(kind == "email", F.lower(core)).when(_separated(x), F.regexp_replace(core, "[^0-9A-Za-z]", "")).otherwise(core)
+    canonical = F.when(kind == "email", F.lower(core)).when(_separated(p), F.regexp_replace(core, "[^0-9A-Za-z]", "")).otherwise(core)
     return F.when(
         kind == "name",
         F.when(
             F.size(names) > 1,
-            F.array(_part(_given_kind(x), names[0]), _part(F.lit("surname"), F.element_at(names, -1))),
+            F.array(_part(_given_kind(p["prefix"]), names[0]), _part(F.lit("surname"), F.element_at(names, -1))),
         ).otherwise(F.array(_part(F.lit("surname"), core))),
     ).otherwise(F.array(_part(kind, canonical)))
 
@@ -209,14 +214,24 @@ def _name(kind: Column, name: Column, stream: Column, attempt: int) -> Column:
     return out
 
 
-def surrogate(entity: Column, key: str, attempt: int) -> Column:
-    """The surrogate of a canonical form at an attempt."""
-    kind, canonical = F.substring_index(entity, "|", 1), F.substring(entity, F.instr(entity, "|") + 1, F.length(entity))
-    tried = F.lit(str(attempt))
-    stream = _stream(key, kind, canonical, tried)
-    domain = F.substring_index(canonical, "@", -1)
+def _tried(pending: DataFrame, key: str, attempt: int) -> DataFrame:
+    """``entity, surrogate``: the surrogates of an attempt, from columns made once for each entity."""
+    kind, canonical = F.col("kind"), F.col("canonical")
+    parts = pending.select(
+        "entity",
+        F.substring_index("entity", "|", 1).alias("kind"),
+        F.substring("entity", F.instr("entity", "|") + 1, F.length("entity")).alias("canonical"),
+    )
     # Addresses of one domain share the surrogate of the domain, at every attempt.
-    domain_stream = _stream(key, F.lit("domain"), domain)
+    domain = F.substring_index(canonical, "@", -1)
+    streams = parts.withColumns(
+        {"stream": _stream(key, kind, canonical, F.lit(str(attempt))), "domain_stream": _stream(key, F.lit("domain"), domain)}
+    )
+    return streams.select("entity", surrogate(kind, canonical, F.col("stream"), F.col("domain_stream"), attempt).alias("surrogate"))
+
+
+def surrogate(kind: Column, canonical: Column, stream: Column, domain_stream: Column, attempt: int) -> Column:
+    """The surrogate of a canonical form at an attempt, from its keyed bytes and those of its domain."""
     zero = F.lit(0)
     like = lambda keep=zero, end=zero, hexa=F.lit(False): _like(canonical, stream, domain_stream, keep, end, hexa)
     octets = [F.when(F.lit(i == 0), 1 + _byte(stream, F.lit(i)) % 223).otherwise(_byte(stream, F.lit(i))) for i in range(4)]
@@ -240,7 +255,7 @@ def assign(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
     pending, settled = entities.select("entity"), None
     taken = entities.select(F.col("entity").alias("made"))
     for attempt in range(attempts):
-        tried = pending.select("entity", surrogate(F.col("entity"), key, attempt).alias("surrogate"), F.lit(True).alias("new"))
+        tried = _tried(pending, key, attempt).withColumn("new", F.lit(True))
         both = tried if settled is None else tried.unionByName(settled.withColumn("new", F.lit(False)))
         # First names of all genders share one space, as they look alike.
         space = F.regexp_replace(F.substring_index("entity", "|", 1), "^given-.$", "given")
@@ -260,12 +275,17 @@ def assign(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {attempts} attempts")
 
 
-def _rendered(x: Column, known: Column) -> Column:
+def _made(p: Column, known: Column) -> Column:
+    """The parts of a finding with the surrogates of its entities."""
+    made = F.transform(_entities(p), lambda e: F.coalesce(known[e], F.substring_index(e, "|", -1)))
+    return F.struct(p["prefix"].alias("prefix"), p["core"].alias("core"), p["kind"].alias("kind"), made.alias("made"))
+
+
+def _rendered(p: Column) -> Column:
     """A finding with its surrogate, in its own spelling."""
-    core, kind, entities = _core(x), _kind(x), _entities(x)
-    made = F.transform(entities, lambda e: F.coalesce(known[e], F.substring_index(e, "|", -1)))
+    core, kind, made = p["core"], p["kind"], p["made"]
     first = made[0]
-    signs = F.when(_separated(x), "[^0-9A-Za-z]").otherwise("[^\\s\\S]")
+    signs = F.when(_separated(p), "[^0-9A-Za-z]").otherwise("[^\\s\\S]")
 
     def one(c: Column, i: Column) -> Column:
         at = F.length(F.regexp_replace(F.substring(core, F.lit(1), i + 1), signs, ""))
@@ -274,7 +294,7 @@ def _rendered(x: Column, known: Column) -> Column:
 
     spelt = F.array_join(F.transform(_chars(core), one), "")
     return F.concat(
-        _prefix(x),
+        p["prefix"],
         F.when(kind == "name", F.array_join(made, " ")).when(kind == "ipv4", first).otherwise(spelt),
     )
 
@@ -295,14 +315,15 @@ def pseudonymise(docs: DataFrame, key: str = "set your own key") -> DataFrame:
         }
     )
     pairs = stored(
-        found.select("digest", F.explode(F.array_distinct(F.flatten(F.transform("findings", _entities)))).alias("entity")).distinct(),
+        found.select("digest", F.explode(F.array_distinct(F.flatten(F.transform(F.transform("findings", _read), _entities)))).alias("entity")).distinct(),
         "pii-pairs",
     )
     chosen = assign(stored(pairs.select("entity").distinct(), "pii-entities"), key)
     known = pairs.join(chosen, "entity").groupBy("digest").agg(
         F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("known")
     )
-    replaced = F.transform("findings", lambda x: _rendered(x, F.col("known")))
+    made = F.transform(F.transform("findings", _read), lambda p: _made(p, F.col("known")))
+    replaced = F.transform(made, _rendered)
     kept = F.split("text", PATTERN, -1)
     joined = found.join(known, "digest").withColumn("replaced", replaced)
     new = F.array_join(F.transform(kept, lambda s, i: F.concat(s, F.coalesce(F.get("replaced", i), F.lit("")))), "")
