@@ -1,13 +1,17 @@
 """Quality rules: a hashed n-gram log-likelihood ratio, next to plain counts.
 
-Words and word pairs of every text are hashed into a fixed number of buckets. Two multinomials over the buckets are
+Words and word pairs of every text are hashed into buckets. Two multinomials over the buckets are
 estimated with add-one smoothing: the target from the trusted documents (labelled good and not toxic), the raw one from
 all documents. The raw counts are first scaled to the target's total, so that smoothing weighs alike on both and an unseen
 bucket has ratio 0 at every size of the corpus. A text's ratio is the mean of log(target / raw) over its n-grams, so it
 does not depend on length. A text is kept if its ratio reaches the threshold; no document is drawn by chance.
 
-Counts of all documents are summed in Spark (each task gives one sum per bucket it met, then a grouped sum); the driver
-gets two numbers for each of the ``BUCKETS`` buckets, whatever the size of the corpus. Labels meet documents in one join on
+The number of buckets follows the corpus: a power of two, one bucket at least for ``BYTES_A_BUCKET`` bytes of text. With a
+fixed number, good and bad n-grams come to share buckets as the corpus grows, and all ratios drift to 0. The
+buckets are dealt into ``SLICES`` ranges. A task counts only buckets that it met and gives one packed row per slice; rows
+are summed slice by slice, and each slice's ratios become a file in the shared folder. The driver gets the two totals
+only. A task that judges texts reads the slices once where all of them fit into ``HELD_BUCKETS``; otherwise it reads one after the
+other for every ``CHUNK`` of n-grams, so its memory does not grow with the corpus. Labels meet documents in one join on
 the id, the only shuffle of texts. Trust is decided by id; a document whose labels contradict each other is not trusted.
 
 Null and empty texts have no words, fail the base rules and are not kept. A text without n-grams has ratio 0. If nothing is
@@ -16,14 +20,24 @@ trusted, the target is uniform like the smoothing, and every text's ratio is set
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainage.llm.common import WordHashes, gram_hashes, mix, text_bytes, unwrapped, wrapped
+from chainage.llm.common import WordHashes, gram_hashes, mix, stored, text_bytes, unwrapped, work_path, wrapped
+from chainage.llm.warc_chunks import _uri
 
-BUCKETS = 1 << 16
+LEAST_BITS = 20
+BYTES_A_BUCKET = 64
+SLICES = 512
+HELD_BUCKETS = 1 << 24
+CHUNK = 1 << 21
 THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 5
@@ -48,17 +62,149 @@ def base_counts(text: bytes, hashes: np.ndarray) -> tuple[int, int, int, int]:
     return chars, int(seen[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeated
 
 
-def buckets_of(hashes: np.ndarray) -> np.ndarray:
+def buckets_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The buckets of a text's words and word pairs."""
     both = np.concatenate([mix(hashes), gram_hashes(hashes, 2)])
-    return (both % np.uint64(BUCKETS)).astype(np.int64)
+    return (both >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bits_for(size: int) -> int:
+    """Two to this power buckets are used for so many bytes of text."""
+    return max(LEAST_BITS, (-(-size // BYTES_A_BUCKET) - 1).bit_length())
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that the zeros of small ones lie together and compress."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+class Tally:
+    """Target and raw counts of the buckets met so far, sorted by bucket."""
+
+    def __init__(self):
+        self.met, self.count = np.empty(0, np.int64), np.zeros((2, 0), np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.waiting = ([], []), 0
+
+    def add(self, buckets: np.ndarray, trusted: bool) -> None:
+        self.new[trusted].append(buckets)
+        self.waiting += len(buckets)
+
+    def merge(self) -> None:
+        """What was added joins the sums."""
+        met, count = [self.met], [self.count]
+        for trusted, added in enumerate(self.new):
+            if added:
+                own, times = np.unique(np.concatenate(added), return_counts=True)
+                met.append(own)
+                count.append(np.stack([times * trusted, times]))
+        every, counts = np.concatenate(met), np.concatenate(count, 1)
+        order = np.argsort(every, kind="stable")
+        self.met, first = np.unique(every[order], return_index=True)
+        self.count = np.add.reduceat(counts[:, order], first, axis=1) if len(first) else counts
+        self.clear()
+
+    def flushed(self, bits: int):
+        """One row ``slice, gaps, target, raw`` for each slice met; the tally is empty then."""
+        self.merge()
+        wide = 1 << bits - SLICES.bit_length() + 1
+        cuts = np.searchsorted(self.met, np.arange(SLICES + 1) * wide)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                yield i, planes(np.diff(self.met[a:b], prepend=i * wide)), planes(self.count[0, a:b]), planes(self.count[1, a:b])
+        self.met, self.count = np.empty(0, np.int64), np.zeros((2, 0), np.int64)
 
 
 def _rows(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"), *more)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+@dataclass
+class Ratios:
+    """log(target / raw) of two to the power ``bits`` buckets, in files by slice; no folder if all are 0."""
+
+    folder: str | None
+    bits: int
+
+    def __post_init__(self):
+        self.wide, self.held = (1 << self.bits) // SLICES, None
+
+    def slice(self, i: int) -> np.ndarray:
+        fs, at = pafs.FileSystem.from_uri(self.folder)
+        # A slice that no n-gram fell into has no file.
+        if fs.get_file_info(f"{at}/{i}").type == pafs.FileType.NotFound:
+            return np.zeros(self.wide, np.float32)
+        with fs.open_input_stream(f"{at}/{i}", compression=None) as source:
+            return np.frombuffer(source.read(), "<f4")
+
+    def of(self, buckets: np.ndarray) -> np.ndarray:
+        """The ratios of some buckets."""
+        if self.folder is None or not len(buckets):
+            return np.zeros(len(buckets))
+        if self.wide * SLICES <= HELD_BUCKETS:
+            if self.held is None:
+                self.held = np.concatenate([self.slice(i) for i in range(SLICES)])
+            return self.held[buckets].astype(float)
+        order = np.argsort(buckets)
+        out, own = np.empty(len(buckets)), buckets[order]
+        cuts = np.searchsorted(own, np.arange(SLICES + 1) * self.wide)
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                out[order[a:b]] = self.slice(i)[own[a:b] - i * self.wide]
+        return out
+
+
+def _bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """``slice, target, raw, n_target, n_raw``: the packed counts of all buckets of each slice met, and their sums."""
+    names, wide = ["slice", "gaps", "target", "raw"], (1 << bits) // SLICES
+
+    def counts(batches):
+        hashes, tally = WordHashes(9), Tally()
+        packed = lambda: (pa.RecordBatch.from_arrays([pa.array([x]) for x in r], names) for r in tally.flushed(bits))
+        for batch in batches:
+            for good, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text:
+                    tally.add(buckets_of(hashes.of(text.split()), bits), good)
+                if tally.waiting > CHUNK:
+                    tally.merge()
+                    if len(tally.met) > 2 * CHUNK:
+                        yield from packed()
+        yield from packed()
+
+    def summed(batches):
+        now, total = None, None
+
+        def done():
+            own = [pa.array([x]) for x in (now, planes(total[0]), planes(total[1]), int(total[0].sum()), int(total[1].sum()))]
+            return pa.RecordBatch.from_arrays(own, ["slice", "target", "raw", "n_target", "n_raw"])
+
+        for batch in batches:
+            for i, gaps, target, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i != now:
+                    if now is not None:
+                        yield done()
+                    now, total = i, np.zeros((2, wide), np.int64)
+                at = unplaned(gaps).cumsum()
+                total[0, at] += unplaned(target)
+                total[1, at] += unplaned(raw)
+        if now is not None:
+            yield done()
+
+    return (
+        rows.mapInArrow(counts, "slice bigint, gaps binary, target binary, raw binary")
+        .repartition("slice")
+        .sortWithinPartitions("slice")
+        .mapInArrow(summed, "slice bigint, target binary, raw binary, n_target bigint, n_raw bigint")
+    )
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
     """log(target / raw) of every bucket."""
     trusted = (
         labels.filter("doc_id is not null")
@@ -67,48 +213,57 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         .filter("good")
         .select("trusted_id")
     )
+    size = docs.select(F.octet_length(text_bytes()).cast("bigint").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = bits_for(size)
     # Labels grow with the corpus: the plan is the same for every size, not a broadcast that ends one day.
     rows = _rows(docs).join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left").select(
         F.col("trusted_id").isNotNull().alias("trusted"), "text"
     )
+    counted = stored(_bucket_counts(rows, bits), "llr-counts")
+    n_target, n_raw = counted.agg(F.sum("n_target"), F.sum("n_raw")).first()
+    if not n_target:
+        return Ratios(None, bits)
+    folder, scale = _uri(work_path(docs.sparkSession, "llr-ratios")), n_target / n_raw
 
-    def counts(batches):
-        hashes, total = WordHashes(9), np.zeros((2, BUCKETS), np.int64)
+    def written(batches):
+        fs, at = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
         for batch in batches:
-            for good, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.bincount(buckets_of(hashes.of(text.split())), minlength=BUCKETS) if text else 0
-                total[1] += own
-                if good:
-                    total[0] += own
-        met = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(met), pa.array(total[0, met]), pa.array(total[1, met])], ["bucket", "target", "raw"]
-        )
-
-    sums = (
-        rows.mapInArrow(counts, "bucket bigint, target bigint, raw bigint")
-        .groupBy("bucket")
-        .agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-        .toArrow()
-    )
-    total = np.zeros((2, BUCKETS))
-    at = sums["bucket"].to_numpy()
-    total[0, at], total[1, at] = sums["target"].to_numpy(), sums["raw"].to_numpy()
-    size = total.sum(1)
-    if not size[0]:
-        return np.zeros(BUCKETS)
-    target, raw = total[0] + 1, total[1] * (size[0] / size[1]) + 1
-    return np.log(target / raw)
-
-
-def verdict(text: bytes, hashes: WordHashes, ratios: np.ndarray, threshold: float) -> tuple:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept``."""
-    words = text.split()
-    h = hashes.of(words)
-    counts = base_counts(text, h) if text else (0, 0, 0, 0)
-    ratio = float(ratios[buckets_of(h)].mean()) if words else 0.0
-    failed = len(words) < 10 or 100 * counts[3] > 20 * len(words)
-    return (len(words), *counts, failed, ratio, not failed and ratio >= threshold)
+            for i, target, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Tasks tried again write the same bytes; a file has its name only when it is whole.
+                own = f"{at}/{i}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(own, compression=None) as out:
+                    out.write(np.log((unplaned(target) + 1) / (unplaned(raw) * scale + 1)).astype("<f4").tobytes())
+                fs.move(own, f"{at}/{i}")
+            yield batch.select(["slice"])
+
+    counted.select("slice", "target", "raw").mapInArrow(written, "slice bigint").count()
+    return Ratios(folder, bits)
+
+
+def verdicts(texts: list, hashes: WordHashes, ratios: Ratios, threshold: float):
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept`` of each text."""
+    waiting, buckets, size = [], [], 0
+
+    def judged():
+        found = ratios.of(np.concatenate(buckets))
+        ends = np.cumsum([len(b) for b in buckets])
+        for (n_words, counts), own in zip(waiting, np.split(found, ends[:-1]), strict=True):
+            ratio = float(own.mean()) if n_words else 0.0
+            failed = n_words < 10 or 100 * counts[3] > 20 * n_words
+            yield (n_words, *counts, failed, ratio, not failed and ratio >= threshold)
+
+    for text in texts:
+        words = text.split()
+        h = hashes.of(words)
+        waiting.append((len(words), base_counts(text, h) if text else (0, 0, 0, 0)))
+        buckets.append(buckets_of(h, ratios.bits))
+        size += len(buckets[-1])
+        if size > CHUNK:
+            yield from judged()
+            waiting, buckets, size = [], [], 0
+    if waiting:
+        yield from judged()
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,7 +278,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     def judged(batches):
         hashes = WordHashes(9)
         for batch in batches:
-            found = [verdict(t, hashes, ratios, threshold) for t in batch.column(1).to_pylist()]
+            found = verdicts(batch.column(1).to_pylist(), hashes, ratios, threshold)
             columns = list(zip(*found, strict=True)) or [()] * 8
             arrays = [pa.array(c, t) for c, t in zip(columns, list(kinds.values())[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], list(kinds))
@@ -143,7 +298,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def chosen(batches):
         hashes = WordHashes(9)
         for batch in batches:
-            kept = [verdict(t, hashes, ratios, threshold)[-1] for t in batch.column(0).to_pylist()]
+            kept = [v[-1] for v in verdicts(batch.column(0).to_pylist(), hashes, ratios, threshold)]
             yield pa.RecordBatch.from_arrays([batch.column(1)], ["row"]).filter(pa.array(kept, pa.bool_()))
 
     kind = rows.schema["row"].dataType.simpleString()

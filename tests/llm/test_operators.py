@@ -491,3 +491,57 @@ def test_ratio_tells_trusted_from_other_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 800, 2)], "doc_id bigint, quality int, toxic int")
     assert all(r.kept == (r.doc_id % 4 > 0) for r in llr.judge(docs, labels).collect())
+
+
+def brute_ratios(rows, labels) -> list[tuple]:
+    """``ratio`` and ``kept`` of every text, with dictionaries of n-grams instead of buckets."""
+    verdicts = defaultdict(list)
+    for i, quality, toxic in labels:
+        verdicts[i].append(quality == 1 and not toxic)
+    grams, target, raw = [], Counter(), Counter()
+    for i, text in rows:
+        words = SPACED.findall(text or "")
+        grams.append([*words, *zip(words, words[1:])])
+        raw.update(grams[-1])
+        if i is not None and verdicts[i] and all(verdicts[i]):
+            target.update(grams[-1])
+    scale, out = target.total() / max(1, raw.total()), []
+    for (_, text), own in zip(rows, grams, strict=True):
+        words = SPACED.findall(text or "")
+        windows = Counter(tuple(words[p : p + 5]) for p in range(len(words) - 4))
+        repeat = {q for p in range(len(words) - 4) if windows[tuple(words[p : p + 5])] > 1 for q in range(p, p + 5)}
+        ratio = sum(math.log((target[g] + 1) / (raw[g] * scale + 1)) for g in own) / len(own) if own and target else 0.0
+        out.append((ratio, len(words) >= 10 and 100 * len(repeat) <= 20 * len(words) and ratio >= llr.THRESHOLD))
+    return out
+
+
+@pytest.mark.parametrize("held", [llr.HELD_BUCKETS, 0])
+def test_ratios_equal_brute_force(spark, docs, monkeypatch, held):
+    """Also where tasks flush their counts early and read the slices one by one."""
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 60, 2)] + [(None, 1, 0), (8, 0, 0), (11, 1, None)]
+    given = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = [(r[0], r[1]) for r in rows_of(1)]
+    if not held:
+        monkeypatch.setattr(llr, "CHUNK", 300)
+    want = sorted((text_key(i), *w) for (i, _), w in zip(rows, brute_ratios(rows, labels), strict=True))
+    ratios = llr.log_ratios(docs, given)
+    monkeypatch.setattr(llr, "HELD_BUCKETS", held)
+    hashes = llr.WordHashes(9)
+    found = list(llr.verdicts([(t or "").encode() for _, t in rows], hashes, ratios, llr.THRESHOLD))
+    got = sorted((text_key(i), v[6], v[7]) for (i, _), v in zip(rows, found, strict=True))
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-5)
+    judged = sorted((text_key(r.doc_id), r.ratio, r.kept) for r in llr.judge(docs, given).collect())
+    assert judged == got
+
+
+def test_bad_texts_stay_apart_in_a_corpus_of_many_pairs(spark):
+    """So many different pairs that 65,536 buckets would all be shared by good and bad ones."""
+    rnd = random.Random(7)
+    good, bad = [f"g{i}" for i in range(60_000)], [f"b{i}" for i in range(60_000)]
+    rows = [(i, " ".join(rnd.choices(bad if i % 5 == 0 else good, k=1000))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1500) if i % 5 and i % 2], "doc_id bigint, quality int, toxic int")
+    got = llr.judge(docs, labels).filter("kept").select((llr.F.col("doc_id") % 5 > 0).alias("good")).collect()
+    assert [r.good for r in got] == [True] * 1200
+    assert llr.bits_for(0) == llr.bits_for(64 << 20) == 20 and llr.bits_for((64 << 20) + 1) == 21 and llr.bits_for(30 * 10**9) == 29
