@@ -65,8 +65,8 @@ PATTERN = "|".join(
         rf"\b(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
     ]
 )
-#: A cheap first look: every pattern needs one of these.
-_HINT = rf"[0-9@]|\b(?:{_TITLE})\.? \p{{Lu}}"
+#: A cheap first look: every pattern needs one of these. Secrets may consist of letters only.
+_HINT = rf"[0-9@]|AKIA|(?:ghp|gho|sk|pk)_|[a-f]{{32}}|\b(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def _kind(x: Column) -> Column:
