@@ -7,7 +7,7 @@ its valid check digit, an IBAN its country and valid check digits, a phone numbe
 equal domains stay equal; names follow the title's gender and the script.
 
 Spellings of one entity (separators, case of an address) share a canonical form, hence a surrogate, in all documents; a
-surname has one surrogate with or without a first name. All surrogates of a type are checked: where two
+surname, the last word after the titles, has one surrogate with or without first names. All surrogates of a type are checked: where two
 entities would get the same one, or one that is itself an entity of the corpus, all but one try again with the next
 attempt number, until none is left. So different entities stay different.
 
@@ -47,6 +47,7 @@ SYLLABLES = {
 }
 
 _TITLE = "|".join(TITLES.values())
+_TITLED = rf"(?:(?:{_TITLE})\.? )+"
 _NAME = r"\p{Lu}[\p{Ll}’\-]+(?:-\p{Lu}\p{Ll}+)?"
 _ASSIGNED = r"(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}=\s{0,3}[\"']?"
 _SECRET = r"AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk)_[A-Za-z0-9_]{16,80}"
@@ -62,7 +63,8 @@ PATTERN = "|".join(
         r"(?<![0-9A-Za-z\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-])",
         r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
         r"(?<![0-9\-])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
-        rf"\b(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+        # Any number of titles and words; a title before a further name begins the next finding.
+        rf"\b{_TITLED}{_NAME}(?: (?!(?:{_TITLE})\.? \p{{Lu}}){_NAME})*",
     ]
 )
 #: A cheap first look: every pattern needs one of these. Secrets may consist of letters only.
@@ -84,11 +86,11 @@ def _kind(x: Column) -> Column:
 
 def _prefix(x: Column) -> Column:
     """What of a finding is no part of the entity: a title, or what the value is given to."""
-    return F.regexp_extract(x, rf"^(?:{_ASSIGNED}|(?:{_TITLE})\.? )", 0)
+    return F.regexp_extract(x, rf"^(?:{_ASSIGNED}|{_TITLED})", 0)
 
 
 def _core(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^(?:{_ASSIGNED}|(?:{_TITLE})\.? )", "")
+    return F.regexp_replace(x, rf"^(?:{_ASSIGNED}|{_TITLED})", "")
 
 
 def _script(x: Column) -> Column:
@@ -100,7 +102,7 @@ def _part(kind, canonical) -> Column:
 
 
 def _given_kind(prefix: Column) -> Column:
-    gender = F.when(prefix.rlike(rf"^(?:{TITLES['m']})\.? "), "m").when(prefix.rlike(rf"^(?:{TITLES['f']})\.? "), "f").otherwise("n")
+    gender = F.when(prefix.rlike(rf"(?:^| )(?:{TITLES['m']})\.? "), "m").when(prefix.rlike(rf"(?:^| )(?:{TITLES['f']})\.? "), "f").otherwise("n")
     return F.concat(F.lit("given-"), gender)
 
 
@@ -121,10 +123,10 @@ def _entities(p: Column) -> Column:
     canonical = F.when(kind == "email", F.lower(core)).when(_separated(p), F.regexp_replace(core, "[^0-9A-Za-z]", "")).otherwise(core)
     return F.when(
         kind == "name",
-        F.when(
-            F.size(names) > 1,
-            F.array(_part(_given_kind(p["prefix"]), names[0]), _part(F.lit("surname"), F.element_at(names, -1))),
-        ).otherwise(F.array(_part(F.lit("surname"), core))),
+        F.concat(
+            F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda given: _part(_given_kind(p["prefix"]), given)),
+            F.array(_part(F.lit("surname"), F.element_at(names, -1))),
+        ),
     ).otherwise(F.array(_part(kind, canonical)))
 
 

@@ -280,6 +280,19 @@ def test_secrets_of_letters_are_found_without_a_digit_in_the_text(spark, secret)
     assert secret not in got.text and got.n_entities == 1 and len(got.text) == len(f"the key {secret} is out")
 
 
+def test_names_of_many_words_and_titles_are_replaced_whole(spark):
+    texts = ["Mr. John Paul Smith and Mr. Smith met.", "Prof. Dr. Anna Müller and Frau Müller met.", "Mr. Jon Smith Mrs. Eva Jane Lee met.", "Herr Dr. Otto von 5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [(r.text, r.n_entities) for r in sorted(pseudonymise(df, "k").collect())]
+    assert [n for _, n in got] == [2, 2, 2, 1]
+    assert not re.search("John|Paul|Smith|Anna|Müller|Jon|Eva|Jane|Lee|Otto", " ".join(t for t, _ in got))
+    first = re.fullmatch(r"Mr\. [\w-]+ [\w-]+ (\w+) and Mr\. (\w+) met\.", got[0][0])
+    second = re.fullmatch(r"Prof\. Dr\. [\w-]+ (\w+) and Frau (\w+) met\.", got[1][0])
+    assert first[1] == first[2] and second[1] == second[2]
+    assert re.fullmatch(r"Mr\. [\w-]+ (\w+) Mrs\. [\w-]+ [\w-]+ \w+ met\.", got[2][0])[1] == first[1]
+    assert re.fullmatch(r"Herr Dr\. \w+ von 5", got[3][0])
+
+
 # -- op5 ------------------------------------------------------------------------
 
 
