@@ -1,7 +1,7 @@
 """License scans by template markup.
 
 A template is a text with markup: ``<<beginOptional>> ... <<endOptional>>`` may be left out, and
-``<<var;name=...;match=...>>`` is replaceable: ``.+`` stands for 1 to 40 words, ``.*`` for 0 to 40, ``.{a,b}`` for a to b words, and any other
+``<<var;name=...;match=...>>`` is replaceable: ``.+`` stands for any words, one at least, ``.*`` for any words or none, ``.{a,b}`` for a to b words, and any other
 pattern for up to 8 words that match it when joined by blanks. Everything else is mandatory. Templates are compiled
 into token automata; a text has a template's label where a run of its words is accepted, so the mandatory wording
 must match exactly, in words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lowered.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from chainage.llm.common import alnum_words, text_bytes
 
-MOST = 40
 PHRASES = {
     "gnu general public license": "gpl",
     "apache license": "apache",
@@ -170,7 +169,14 @@ def _replaceable(a: Automaton, now: int, pattern: str) -> int:
     if not bounds:
         a.runs.append((now, re.compile(pattern.encode()), after))
         return after
-    least, most = (1, MOST) if bounds[1] else (0, MOST) if bounds[2] else (int(bounds[3]), int(bounds[4]))
+    if not bounds[3]:
+        # A state that any word leads back to; with .+ the first word leads there.
+        loop = a.state()
+        (a.any if bounds[1] else a.skip)[now].append(loop)
+        a.any[loop].append(loop)
+        a.skip[loop].append(after)
+        return after
+    least, most = int(bounds[3]), int(bounds[4])
     for i in range(most + 1):
         if i >= least:
             a.skip[now].append(after)

@@ -477,6 +477,13 @@ def test_templates_accept_exact_mandatory_wording(template, text, accepted):
     assert (found["labels"] == "t") == accepted
 
 
+@pytest.mark.parametrize("match, least", [(".+", 1), (".*", 0)])
+def test_replaceable_text_may_be_long(match, least):
+    scanner = Scanner({}, {"t": f"by <<var;name=x;match={match}>> only"})
+    for n in (0, 1, 40, 41, 3000):
+        assert (scanner.scan(f"x by {'word ' * n}only y".encode())["labels"] == "t") == (n >= least)
+
+
 @pytest.mark.parametrize("template", ["a <<beginOptional>> b", "a <<endOptional>>", "a <<what>>"])
 def test_bad_markup_is_refused(template):
     with pytest.raises(ValueError):
