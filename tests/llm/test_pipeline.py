@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from chainage.llm.simhash_pivots import near_duplicates
+from oracle_check import compare, duck
 from test_operators import SCHEMA, rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,8 +35,13 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     assert pack(spark, private, SMALL).count() == whole.count()
 
 
+@pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if n.startswith("op")])
+def test_registered_queries_equal_their_sql(spark, name):
+    assert compare(spark, duck(SMALL), name, SMALL) is None
+
+
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if n.startswith("op")])
 def test_registered_queries_run(spark, name):
     got = __spark_entry__.queries()[name](spark, SMALL)
-    table = "pages" if name.startswith("op6_") else "documents"
+    table = {"op6": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     assert got.count() >= spark.read.parquet(f"{SMALL}/{table}.parquet").count()
