@@ -24,7 +24,7 @@ from chainage.plans.merge import merge_routes
 from chainage.plans.scratch import scratch_dir
 from chainage.plans.store import RouteStore
 from chainage.sources import esri, geojson, landing, tables
-from chainage.streaming.locate_stream import locate_stream, read_event_stream
+from chainage.streaming.locate_stream import locate_stream, read_event_stream, read_located
 from fixtures import oracles as sql
 from fixtures import tables as fx
 
@@ -73,9 +73,32 @@ def replace_mval(spark, sf):
     return _rounded(loc.locate(old, _index(spark, sf)))
 
 
+def _placed(spark, sf):
+    """Located events in their order in the event file, which has no key for it."""
+    path = scratch_dir(spark, "inventory")
+    tables.write_table(fx.events(spark, sf), path)
+    placed, _ = tables.read_events(spark, path, with_order=True)
+    located = loc.locate(placed, _index(spark, sf), unmatched="keep")
+    return _rounded(ev.restore_order(located, tables.INPUT_FILE, tables.INPUT_ROW))
+
+
 def restore_order(spark, sf):
-    located = loc.locate(fx.events(spark, sf), _index(spark, sf), unmatched="keep")
-    return _rounded(ev.restore_order(located, "event_id")).select("event_id", "MVAL")
+    return _placed(spark, sf).select("event_id", "MVAL")
+
+
+def input_order(spark, sf):
+    """Events of each file, by their place in it; the table given is one file."""
+    rows, _ = tables.read_events(
+        spark, f"{sf}/events.parquet", with_order=True, route_id="event_type", lat="value", lon="value"
+    )
+    ordered = ev.restore_order(rows, tables.INPUT_FILE, tables.INPUT_ROW)
+    return ordered.select("event_id", "event_type", tables.INPUT_ROW)
+
+
+def mvalue_points(spark, sf):
+    """The public call on a points table, in degrees."""
+    located = loc.calculate_m_value(fx.degree_events(spark, sf), fx.points(spark, sf), INVENTORY)
+    return _rounded(located, MVAL=4, DIST_TO_LRS=4).drop("TO_STA_LONG", "TO_STA_LAT")
 
 
 def shortest_line(spark, sf):
@@ -112,6 +135,12 @@ def route_sample(spark, sf):
     ).select("event_id", "ROUTEID")
 
 
+def route_sample_few(spark, sf):
+    return ev.route_sample(
+        fx.events(spark, sf), 7, "event_id", order=F.col("event_id")
+    ).select("event_id", "ROUTEID")
+
+
 # -- route tables ------------------------------------------------------------
 
 
@@ -119,6 +148,12 @@ def segments(spark, sf):
     return _rounded(rt.segments(fx.points(spark, sf), dense=True), mvgradient=6, c=4, MVAL1=6, MVAL=6)
 
 
+def segments_gapped(spark, sf):
+    """Vertex numbers with gaps: the successor is the next number there is."""
+    some = fx.points(spark, sf).where("VERTEX_SEQ % 7 <> 3")
+    return _rounded(rt.segments(some), mvgradient=6, c=4, MVAL1=6, MVAL=6)
+
+
 def linestrings(spark, sf):
     lines = rt.linestrings(fx.points(spark, sf))
     first, last = F.get("vertices", F.lit(0)), F.element_at("vertices", -1)
@@ -170,7 +205,8 @@ def has_m(spark, sf):
 
 
 def route_filter_one(spark, sf):
-    return rt.only_routes(_stored(spark, fx.points(spark, sf)), "0000001")
+    """One route of a stored version; its bucket and the files that can hold it are opened."""
+    return tables.route_columns(_one_version(spark, sf).latest("0000001").points)
 
 
 def route_filter_in(spark, sf):
@@ -232,9 +268,17 @@ def catalog_next(spark, sf):
     return catalog.next_version(fx.catalog_rows(spark, sf), CATALOG)
 
 
-def _two_versions(spark, sf) -> RouteStore:
+def _one_version(spark, sf) -> RouteStore:
     store = RouteStore(spark, scratch_dir(spark, "store"), buckets=16)
-    jobs.sync_routes(fx.esri_payloads(spark, sf), store, FIRST_DAY, "survey", "first")
+    store.publish(fx.points(spark, sf), FIRST_DAY, "survey", "first", dense=True)
+    return store
+
+
+def _two_versions(spark, sf) -> RouteStore:
+    store, landed = RouteStore(spark, scratch_dir(spark, "store"), buckets=16), scratch_dir(spark, "pages")
+    pages = fx.esri_payloads(spark, sf)
+    pages.select("payload", (F.col("page") * fx.PER_PAGE).alias("offset")).write.partitionBy("offset").text(landed)
+    jobs.sync_routes(esri.read_payloads(spark, landed), store, FIRST_DAY, "survey", "first")
     store.publish(fx.delivery_points(spark, sf), SECOND_DAY, "survey", "second", dense=True)
     return store
 
@@ -244,6 +288,42 @@ def sync_pipeline(spark, sf):
     return tables.route_columns(_two_versions(spark, sf).latest().points)
 
 
+def sync_landing(spark, sf):
+    """Page files to a version: complete, and without the routes that are not in force."""
+    store, landed = RouteStore(spark, scratch_dir(spark, "store"), buckets=16), scratch_dir(spark, "pages")
+    count = fx.land_pages(spark, sf, landed)
+    jobs.sync_landing(spark, landed, store, count, fx.PER_PAGE, "2024-01-01 00:00:00", FIRST_DAY, "survey", "first")
+    return tables.route_columns(store.latest().points)
+
+
+def sync_short_page(spark, sf):
+    """The pages that stop a sync, and how many versions there are then."""
+    store, landed = RouteStore(spark, scratch_dir(spark, "store"), buckets=16), scratch_dir(spark, "pages")
+    count = fx.land_pages(spark, sf, landed, short=True)
+    try:
+        jobs.sync_landing(spark, landed, store, count, fx.PER_PAGE, "2024-01-01 00:00:00", FIRST_DAY)
+    except landing.LandingError as refused:
+        versions = store.catalog().agg(F.count("*").alias("n_versions"))
+        return refused.pages.crossJoin(versions)
+    raise AssertionError("a sync with wrong pages was published")
+
+
+def store_as_of(spark, sf):
+    """The points in force on the day before the second version."""
+    return tables.route_columns(_two_versions(spark, sf).as_of("2024-01-31").points)
+
+
+def store_routes(spark, sf):
+    """The open version's segments of the routes that occur in the events, by a table of ids."""
+    ids = ev.event_route_ids(fx.events(spark, sf))
+    parts = _two_versions(spark, sf).latest(ids).segments
+    return _rounded(parts, mvgradient=6, c=4, MVAL1=6, MVAL=6)
+
+
+def store_linestrings(spark, sf):
+    return rt.with_wkt(_two_versions(spark, sf).latest().linestrings).drop("vertices")
+
+
 def catalog_publish(spark, sf):
     store = _two_versions(spark, sf)
     counts = [
@@ -311,7 +391,7 @@ def landing_check(spark, sf):
     """Pages of ten orders; orders with status P did not arrive."""
     orders = fx.table(spark, sf, "orders")
     landed = orders.where("o_orderstatus <> 'P'").select(F.expr("o_orderkey div 10 * 10").alias("offset"))
-    return landing.landing_check(landed, orders.count(), 10)
+    return landing.landing_check(landed, orders.agg(F.count("*")), 10)
 
 
 def geojson_events(spark, sf):
@@ -325,6 +405,37 @@ def geojson_events_custom(spark, sf):
     return geojson.events(good, fx.EVENT_PROPERTIES, names, keep=("doc_id", "feature_index"))
 
 
+def geojson_lines(spark, sf):
+    """The events through files of a Feature per line."""
+    path = scratch_dir(spark, "lines")
+    geojson.to_features(_typed_events(spark, sf)).write.text(path)
+    return geojson.events(geojson.valid(geojson.read_lines(spark, path), strict=True))
+
+
+def geojson_split(spark, sf):
+    """The events through one document in several files, which are cut where Features begin."""
+    path = scratch_dir(spark, "document")
+    rows = _typed_events(spark, sf)
+    geojson.write_document(geojson.to_features(rows.withColumn("row", F.col("event_id")), keep=("row",)), path, "row")
+    return geojson.events(geojson.valid(geojson.read_split(spark, path), strict=True))
+
+
+def _typed_events(spark, sf):
+    parsed = geojson.features(fx.geojson_documents(spark, sf))
+    return geojson.events(parsed)
+
+
+def geojson_conflicts(spark, sf):
+    parsed = geojson.features(fx.geojson_documents(spark, sf, mixed=True))
+    return geojson.property_conflicts(parsed)
+
+
+def geojson_mixed(spark, sf):
+    """Inferred columns where a property is of several kinds, and another is called like a coordinate."""
+    parsed = geojson.features(fx.geojson_documents(spark, sf, mixed=True))
+    return geojson.events(parsed)
+
+
 def validate_geojson(spark, sf):
     parsed = geojson.features(fx.geojson_documents(spark, sf, broken=True))
     return geojson.problems(parsed).select("doc_id", "feature_index", "problem")
@@ -353,7 +464,7 @@ def pipeline_geojson(spark, sf):
     answers = geojson.to_collections(
         jobs.locate_geojson(
             fx.geojson_documents(spark, sf, broken=True),
-            _index(spark, sf),
+            _one_version(spark, sf),
             "doc_id",
             properties=asked,
             crs=LAMBERT_WKT,
@@ -367,9 +478,7 @@ def pipeline_geojson(spark, sf):
 
 def pipeline_bulk(spark, sf):
     """Degrees, inventory column names, stored routes: the bulk job end to end."""
-    store = RouteStore(spark, scratch_dir(spark, "store"), buckets=16)
-    store.publish(fx.points(spark, sf), FIRST_DAY, "survey", "first", dense=True)
-    located = jobs.locate_bulk(fx.degree_events(spark, sf), store.latest().index())
+    located = jobs.locate_bulk(fx.degree_events(spark, sf), _one_version(spark, sf).latest().index())
     return _rounded(located, MVAL=4, DIST_TO_LRS=4).drop("TO_STA_LONG", "TO_STA_LAT")
 
 
@@ -377,16 +486,16 @@ def stream_mvalue(spark, sf):
     source, target = scratch_dir(spark, "arrivals"), scratch_dir(spark, "located")
     arrivals = fx.events(spark, sf).drop("event_type")
     tables.write_table(arrivals.repartition(8), source)
-    index = _index(spark, sf)
+    store = _one_version(spark, sf)
     query = locate_stream(
         read_event_stream(spark, source, arrivals.schema, max_files=4),
-        lambda batch: index,
+        lambda batch: jobs.index_for(store, batch),
         target,
         scratch_dir(spark, "progress"),
         crs=LAMBERT_WKT,
     )
     query.awaitTermination()
-    return _rounded(spark.read.parquet(target).drop("batch_id"))
+    return _rounded(read_located(spark, target).drop("batch_id"))
 
 
 _QUERIES = (
@@ -395,13 +504,17 @@ _QUERIES = (
     mvalue_multi,
     replace_mval,
     restore_order,
+    input_order,
+    mvalue_points,
     shortest_line,
     box_candidates,
     best_candidate,
     match_report,
     event_route_ids,
     route_sample,
+    route_sample_few,
     segments,
+    segments_gapped,
     linestrings,
     linestring_wkt,
     linestring_parts,
@@ -422,6 +535,11 @@ _QUERIES = (
     catalog_next,
     catalog_publish,
     sync_pipeline,
+    sync_landing,
+    sync_short_page,
+    store_as_of,
+    store_routes,
+    store_linestrings,
     project_forward,
     project_inverse,
     rename_standard,
@@ -433,6 +551,10 @@ _QUERIES = (
     landing_check,
     geojson_events,
     geojson_events_custom,
+    geojson_lines,
+    geojson_split,
+    geojson_conflicts,
+    geojson_mixed,
     validate_geojson,
     geojson_export,
     compact_events,
@@ -527,6 +649,10 @@ def _own_sql() -> dict[str, str]:
             select e.event_id, round(coalesce(m, 0), 6) as MVAL
             from ({sql.EVENTS}) e left join ({nearest}) n on e.event_id = n.event_id
             order by e.event_id""",
+        "input_order": "select event_id, event_type, row_number() over () - 1 as INPUT_ROW from events",
+        "mvalue_points": f"""
+            select event_id, ROUTEID as LINKID, round(m, 4) as MVAL, round(dist, 4) as DIST_TO_LRS
+            from ({sql.nearest_of(on_grid, sql.POINTS, 'event_id')}) n""",
         "shortest_line": f"""
             select event_id, ROUTEID, round(cx, 6) as CLOSEST_LON, round(cy, 6) as CLOSEST_LAT,
                    round(dist, 6) as DIST_TO_LRS from ({nearest}) n""",
@@ -553,6 +679,11 @@ def _own_sql() -> dict[str, str]:
         "route_sample": f"""
             select min(event_id) as event_id, ROUTEID from ({sql.EVENTS}) e group by ROUTEID
             order by 1 limit 500""",
+        "route_sample_few": f"""
+            select min(event_id) as event_id, ROUTEID from ({sql.EVENTS}) e group by ROUTEID
+            order by 1 limit 7""",
+        "segments_gapped": f"""
+            select {rounded} from ({sql.segments_of(f"select * from ({sql.POINTS}) q where VERTEX_SEQ % 7 <> 3")}) s""",
         "segments": f"select {rounded} from ({sql.segments_of(sql.POINTS)}) s",
         "linestrings": f"""
             select ROUTEID, 0 as PART, cast(count(*) as int) as n_vertices,
@@ -594,6 +725,19 @@ def _own_sql() -> dict[str, str]:
             group by CATALOG""",
         "catalog_publish": versions,
         "sync_pipeline": sql.merged(lambda t: t),
+        "sync_landing": f"select * from ({sql.POINTS}) p where cast(ROUTEID as bigint) % 5 in (0, 3)",
+        "sync_short_page": f"""
+            select *, 0 as n_versions from (
+              select o as "offset", least(2, n - o) as expected_rows,
+                     case when o in (0, 4) then 0 when o = 2 then least(2, n - o) + 1 else least(2, n - o) end as landed_rows
+              from (select n, unnest(range(0, n, 2)) as o from (select count(distinct ROUTEID) as n from ({sql.POINTS}) p) c) r
+              union all select 1000, 0, 1) l
+            where expected_rows <> landed_rows""",
+        "store_as_of": sql.POINTS,
+        "store_routes": f"""
+            select {rounded} from ({sql.merged(sql.segments_of)}) s
+            where ROUTEID in (select ROUTEID from ({sql.EVENTS}) e)""",
+        "store_linestrings": sql.merged(sql.wkt_of),
         "project_forward": f"""
             select event_id, round({wide_x}, 3) as LON, round({wide_y}, 3) as LAT from ({sql.WIDE}) w""",
         "project_inverse": f"""
@@ -625,6 +769,22 @@ def _own_sql() -> dict[str, str]:
         "geojson_events_custom": f"""
             select doc_id, slot as feature_index, LAT as "Y", LON as "X", ROUTEID, event_type, k
             from ({sound}) f""",
+        "geojson_lines": f"""
+            select LAT, LON, ROUTEID, cast(event_id as double) as event_id, event_type, k
+            from ({features}) f""",
+        "geojson_split": f"""
+            select LAT, LON, ROUTEID, cast(event_id as double) as event_id, event_type, k
+            from ({features}) f""",
+        "geojson_conflicts": f"""
+            select 'code' as key, case slot % 5 when 0 then 'double' when 1 then 'boolean' else 'string' end as kind,
+                   count(*) as features from ({features}) f where slot % 5 < 3 group by all
+            union all
+            select 'shape', case slot % 2 when 0 then 'structure' else 'string' end, count(*) from ({features}) f group by all""",
+        "geojson_mixed": f"""
+            select LAT, LON, ROUTEID, cast(event_id as double) as event_id, event_type, k, 'kept' as LAT_PROPERTY,
+                   case slot % 5 when 0 then '7' when 1 then 'true' when 2 then 'seven' end as code,
+                   case slot % 2 when 0 then '[1]' else 'list' end as shape
+            from ({features}) f""",
         "validate_geojson": f"""
             select doc_id, slot as feature_index,
                    case slot when 17 then 'expected Feature type'

@@ -58,10 +58,15 @@ def route_sample(
     return one.orderBy(F.xxhash64(F.lit(42), key) if order is None else order, key).limit(n)
 
 
-def restore_order(events: DataFrame, key: str, drop: bool = False) -> DataFrame:
-    """Sort by the caller's input-order key (a range-partitioned sort)."""
-    ordered = events.orderBy(key)
-    return ordered.drop(key) if drop else ordered
+def restore_order(events: DataFrame, *key: str, drop: bool = False) -> DataFrame:
+    """Sort by the columns that tell the input order (a range-partitioned sort).
+
+    That is a key of the caller's, or the place in the files that ``tables.read_events`` adds on request.
+    """
+    if not key:
+        raise ContractError("restore_order needs the columns that tell the input order")
+    ordered = events.orderBy(*key)
+    return ordered.drop(*key) if drop else ordered
 
 
 def replace_columns(df: DataFrame, **values: Column) -> DataFrame:

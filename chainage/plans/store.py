@@ -100,7 +100,7 @@ class RouteStore:
         return catalog.with_end_dates(self._rows(), ONE_CATALOG).select(*PUBLIC_COLUMNS)
 
     def latest(self, routes=None) -> RouteTables:
-        """The open version; ``routes`` limits it to one, a list or a table of ids."""
+        """The open version; ``routes`` limits it to one, a list or a table of ids, and to their buckets."""
         dated = catalog.with_end_dates(self._rows(), ONE_CATALOG)
         return self._open(catalog.latest(dated, ONE_CATALOG), routes)
 
@@ -157,9 +157,12 @@ class RouteStore:
                 live = [(c, b) for b, c in enumerate(before["BUCKET_COMMITS"]) if c and b in touched]
                 old = self._scan(table, live) if live else None
             merged = merge_routes(old, new[table], replaced=staged)
+            # Every file holds a run of routes, or a run of one route's vertices, so that a
+            # filter on the route skips the bucket's other files by their statistics.
+            order = ("bucket", "ROUTEID", ORDER.get(table, "VERTEX_SEQ"))
             (
-                merged.hint("rebalance", "bucket")
-                .sortWithinPartitions("bucket", "ROUTEID", ORDER.get(table, "VERTEX_SEQ"))
+                merged.repartitionByRange(*order)
+                .sortWithinPartitions(*order)
                 .write.partitionBy("bucket")
                 .parquet(f"{self.root}/{table}/commit={commit}")
             )
@@ -225,9 +228,8 @@ class RouteStore:
             raise ContractError("no active catalog entry found")
         self._adopt(row)
         live = [(c, b) for b, c in enumerate(row["BUCKET_COMMITS"]) if c]
-        if isinstance(routes, (str, list, tuple)):
-            ids = [routes] if isinstance(routes, str) else list(routes)
-            wanted = self._buckets_of(ids)
+        if routes is not None:
+            wanted = self._buckets_of(routes)
             live = [(c, b) for c, b in live if b in wanted] or live[:1]
         opened = []
         for table in TABLES:
@@ -252,8 +254,9 @@ class RouteStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("ROUTEID"), F.lit(self.buckets)).cast("int")
 
-    def _buckets_of(self, ids: list[str]) -> set[int]:
-        if len(ids) > 10 * self.buckets:
-            return set(range(self.buckets))
-        asked = self.spark.createDataFrame([(i,) for i in ids], "ROUTEID string")
-        return {r[0] for r in asked.select(self._bucket()).collect()}
+    def _buckets_of(self, routes) -> set[int]:
+        """The buckets of one, a list or a table of ids: at most as many numbers as there are buckets (one job)."""
+        if not isinstance(routes, DataFrame):
+            ids = [routes] if isinstance(routes, str) else list(routes)
+            routes = self.spark.createDataFrame([(i,) for i in ids], "ROUTEID string")
+        return {r[0] for r in routes.select(self._bucket().alias("bucket")).distinct().collect()}

@@ -20,9 +20,17 @@ PAYLOAD_SCHEMA = (
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed file: payload text and its path."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
+    """One row per landed file: payload text, its path, and the page's offset.
+
+    The offset is read from the path, where it follows ``offset=`` or ``offset-``; it is null if the path names none.
+    """
+    file = F.col("_metadata.file_path")
+    named = F.regexp_extract(file, r"offset[=-](\d+)", 1)
+    # Folders of any depth; their names are not columns here.
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return files.select(
+        F.col("value").alias("payload"), file.alias("file"), named.try_cast("bigint").alias("offset")
+    )
 
 
 def features(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -59,6 +67,23 @@ def features(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return routed.withColumn("problem", problem)
 
 
+def with_service_columns(parsed: DataFrame) -> DataFrame:
+    """The parsed features with FROMDATE and TODATE as timestamps and ROAD_STATUS, in place of ``attributes``.
+
+    The service writes dates as milliseconds since 1970; digits in text count the same, other text as a date. A date
+    that can't be read is a problem, as a feature without one would count as in force.
+    """
+    dates, unread = {}, F.lit(False)
+    for name in ("FROMDATE", "TODATE"):
+        text = F.try_variant_get("attributes", f"$.{name}", "string")
+        millis = F.timestamp_millis(text.try_cast("double").try_cast("bigint"))
+        dates[name] = F.coalesce(millis, F.try_to_timestamp(text))
+        unread = unread | (text.isNotNull() & dates[name].isNull())
+    problem = F.coalesce("problem", F.when(unread, "invalid FROMDATE or TODATE"))
+    status = F.try_variant_get("attributes", "$.ROAD_STATUS", "string")
+    return parsed.withColumns(dates | {"ROAD_STATUS": status, "problem": problem}).drop("attributes")
+
+
 def points(parsed: DataFrame, mode: str = "fail", with_path: bool = False) -> DataFrame:
     """Route vertices of the parsed features, numbered 0.. across a route's paths.
 

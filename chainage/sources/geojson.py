@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainage.contract import ColumnMap, ContractError
+from chainage.plans.scratch import scratch_dir
 
-COLLECTION_SCHEMA = (
-    "type string, features array<struct<type string, "
-    "geometry struct<type string, coordinates variant>, properties variant>>"
-)
+FEATURE = "type string, geometry struct<type string, coordinates variant>, properties variant"
+COLLECTION_SCHEMA = f"type string, features array<struct<{FEATURE}>>"
+LINE_SCHEMA = f"{FEATURE}, features array<struct<{FEATURE}>>"
+#: How most writers, ours included, begin a Feature.
+SEPARATOR = '{"type":"Feature"'
+MAX_KEYS = 2000
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
@@ -27,11 +30,68 @@ def features(documents: DataFrame, column: str = "document") -> DataFrame:
     """
     rest = [c for c in documents.columns if c != column]
     parsed = documents.select(*rest, F.from_json(column, COLLECTION_SCHEMA).alias("_doc"))
-    exploded = parsed.select(
-        *rest,
-        F.col("_doc.type").alias("collection_type"),
-        F.posexplode_outer("_doc.features").alias("feature_index", "_f"),
+    return _unfolded(
+        parsed.select(
+            *rest,
+            F.col("_doc.type").alias("collection_type"),
+            F.posexplode_outer("_doc.features").alias("feature_index", "_f"),
+        ),
+        rest,
+    )
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a Feature per line, as the columns of :func:`features` and the file; cut at any line, so of any size.
+
+    A line may also hold a whole collection. Each line is a document, so its one Feature has the index 0.
+    Blank lines are left out; a line that is neither keeps one row, which is a problem.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", LINE_SCHEMA).alias("_doc"))
+    own = F.struct(*[F.col(f"_doc.{c}").alias(c) for c in ("type", "geometry", "properties")])
+    whole = F.col("_doc.type").eqNullSafe("FeatureCollection")
+    single = F.col("_doc.type").isNotNull() & ~whole
+    return _unfolded(
+        parsed.select(
+            "file",
+            F.when(whole | single, "FeatureCollection").alias("collection_type"),
+            F.posexplode_outer(F.when(single, F.array(own)).when(whole, F.col("_doc.features"))).alias("feature_index", "_f"),
+        ),
+        ["file"],
+    )
+
+
+def read_split(spark: SparkSession, path: str, separator: str = SEPARATOR) -> DataFrame:
+    """Files of one collection each, as the columns of :func:`features` and the file, cut where Features begin.
+
+    ``separator`` is the text that Features begin with; files are divided among tasks at it, so a collection may be
+    larger than a row. Within a JSON text value quotes are escaped, so it can't occur there. A Feature that begins
+    otherwise stays in the piece of the one before and is read with it, and a file without the separator is
+    read whole. A Feature that holds the separator itself, as an object in its properties, is cut in two and
+    keeps rows that are a problem. ``feature_index`` counts within a piece.
+    """
+    pieces = spark.read.option("lineSep", separator).text(path).where(F.trim("value") != "")
+    # The rest of a Feature goes on with a comma or a brace, so only a head begins like a document.
+    is_head = F.ltrim("value").startswith("{")
+    bare = F.col("value").rlike(r'^\s*\{[^\[\]]*"features"\s*:\s*\[\s*$')
+    rest = F.regexp_replace(F.concat(F.lit(separator), "value"), r"[\s,]+$", "")
+    parsed = pieces.where(~(is_head & bare)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.when(is_head, F.from_json("value", COLLECTION_SCHEMA)).alias("_doc"),
+        # A piece's last bracket may close the collection; what follows a whole list is not read.
+        F.when(~is_head, F.from_json(F.concat(F.lit("["), rest, F.lit("]")), f"array<struct<{FEATURE}>>")).alias("_list"),
+    )
+    return _unfolded(
+        parsed.select(
+            "file",
+            F.coalesce(F.col("_doc.type"), F.when(F.col("_list").isNotNull(), "FeatureCollection")).alias("collection_type"),
+            F.posexplode_outer(F.coalesce("_doc.features", "_list")).alias("feature_index", "_f"),
+        ),
+        ["file"],
     )
+
+
+def _unfolded(exploded: DataFrame, rest: list[str]) -> DataFrame:
     return exploded.select(
         *rest,
         "collection_type",
@@ -78,27 +138,22 @@ def valid(parsed: DataFrame, cols: ColumnMap = ColumnMap(), strict: bool = False
 
 
 def infer_properties(parsed: DataFrame) -> T.StructType:
-    """Columns for all property keys, by name (runs one job; result is schema-sized).
+    """Columns for all property keys, by name (runs one job).
 
     All numbers give double, all booleans boolean; anything else, or a mix,
-    gives string.
+    gives string; :func:`property_conflicts` lists the mixes. Kinds are merged in the tasks, and more than
+    MAX_KEYS keys raise: such features need a schema, or their properties are data rather than columns.
     """
-    entries = parsed.select(
-        F.explode(F.expr("cast(properties as map<string, variant>)")).alias("key", "value")
-    )
-    kind = F.schema_of_variant("value")
-    family = (
-        F.when(kind == "VOID", None)
-        .when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), "double")
-        .when(kind == "BOOLEAN", "boolean")
-        .otherwise("string")
-    )
     found = (
-        entries.groupBy("key")
-        .agg(F.min(family).alias("low"), F.max(family).alias("high"))
-        .orderBy("key")
+        _kinds(parsed)
+        .groupBy("key")
+        .agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
+        .limit(MAX_KEYS + 1)
         .collect()
     )
+    if len(found) > MAX_KEYS:
+        raise ContractError(f"more than {MAX_KEYS} property keys: give a schema")
+    found.sort(key=lambda r: r["key"])
     kinds = {"double": T.DoubleType(), "boolean": T.BooleanType()}
     return T.StructType(
         [
@@ -108,6 +163,50 @@ def infer_properties(parsed: DataFrame) -> T.StructType:
     )
 
 
+def _kinds(parsed: DataFrame) -> DataFrame:
+    """``key, kind`` of every property; null values have no kind."""
+    entries = parsed.select(
+        F.explode(F.expr("cast(properties as map<string, variant>)")).alias("key", "value")
+    )
+    kind = F.schema_of_variant("value")
+    family = (
+        F.when(kind == "VOID", None)
+        .when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), "double")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind == "STRING", "string")
+        # After every other kind, as objects and lists become text too.
+        .otherwise("structure")
+    )
+    return entries.select("key", family.alias("kind"))
+
+
+def property_conflicts(parsed: DataFrame) -> DataFrame:
+    """Properties whose values are of several kinds: ``key, kind, features``, a row per kind.
+
+    Such a property becomes a string column when the schema is inferred.
+    """
+    counted = _kinds(parsed).where("kind is not null").groupBy("key", "kind").agg(F.count(F.lit(1)).alias("features"))
+    mixed = counted.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    return counted.join(mixed, "key", "left_semi")
+
+
+def column_names(properties: T.StructType, cols: ColumnMap = ColumnMap(), keep: tuple[str, ...] = ()) -> dict[str, str]:
+    """The column of every property: its own name, unless a coordinate, a kept column or another property has that.
+
+    Column names don't tell upper from lower case. A property that meets another name gets the suffix
+    ``_PROPERTY``, once more for every further meeting; the route id keeps its name.
+    """
+    taken = {c.lower() for c in (cols.lat, cols.lon, *keep)}
+    out = {}
+    for name in sorted(properties.fieldNames(), key=lambda n: n != cols.route_id):
+        column = name
+        while column.lower() in taken:
+            column += "_PROPERTY"
+        taken.add(column.lower())
+        out[name] = column
+    return {name: out[name] for name in properties.fieldNames()}
+
+
 def events(
     parsed: DataFrame,
     properties: T.StructType | str | None = None,
@@ -118,18 +217,19 @@ def events(
 
     ``properties`` is the schema of the property columns; without it the
     schema is inferred by a job over the features. The route-id property must
-    be among them.
+    be among them. Properties named like another column are renamed (:func:`column_names`).
     """
     if isinstance(properties, str):
         properties = T.StructType.fromDDL(properties)
     schema = infer_properties(parsed) if properties is None else properties
     if cols.route_id not in schema.fieldNames():
         raise ContractError(f"required property {cols.route_id!r} not found in features")
+    names = column_names(schema, cols, keep)
     return parsed.where(F.col("feature_index").isNotNull()).select(
         *keep,
         F.get("coordinates", F.lit(1)).alias(cols.lat),
         F.get("coordinates", F.lit(0)).alias(cols.lon),
-        *[_property(f.name, f.dataType.simpleString()).alias(f.name) for f in schema],
+        *[_property(f.name, f.dataType.simpleString()).alias(names[f.name]) for f in schema],
     )
 
 
@@ -164,6 +264,34 @@ def to_collections(features: DataFrame, by: str, order: str) -> DataFrame:
     return features.groupBy(by).agg(document.alias("document"))
 
 
+def write_document(features: DataFrame, path: str, *order: str) -> None:
+    """All Features as one FeatureCollection in text files that are one JSON document when joined by name.
+
+    ``features`` has the column ``feature`` and the columns of ``order``, which must tell the rows apart. The Features are
+    staged in the shared folder, cut by ranges of ``order`` and written, a line each, so no task holds them all. The
+    first line also opens the collection and the last one closes it; without Features that is all there is.
+    """
+    spark = features.sparkSession
+    staged = scratch_dir(spark, "document")
+    features.select(F.struct(*order).alias("place"), "feature").write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    head, tail = '{"type":"FeatureCollection","features":[', "]}"
+    ends = rows.agg(F.min("place"), F.max("place")).first()
+    if ends[0] is None:
+        spark.createDataFrame([(head + tail,)], "value string").coalesce(1).write.text(path)
+        return
+    kinds = rows.schema["place"].dataType
+    first, last = (
+        F.col("place") == F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(end, kinds, strict=True)])
+        for end in ends
+    )
+    if rows.where(first | last).count() > 1 + (ends[0] != ends[1]):
+        raise ContractError(f"{order} does not tell all rows apart")
+    value = F.concat(F.when(first, head).otherwise(""), "feature", F.when(last, tail).otherwise(","))
+    ordered = rows.repartitionByRange("place").sortWithinPartitions("place")
+    ordered.select(value.alias("value")).write.text(path)
+
+
 def _exportable(kind: T.DataType) -> bool:
     # The property types that are exported.
     return isinstance(

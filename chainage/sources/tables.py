@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainage.contract import ColumnMap
+from chainage.contract import ColumnMap, ContractError
 
 
-def read_events(spark: SparkSession, path: str, **names: str | None) -> tuple[DataFrame, ColumnMap]:
-    """An event table and its column names, found by alias unless given."""
+#: Where a row stood in the input: its file, and its place in that file.
+INPUT_FILE, INPUT_ROW = "INPUT_FILE", "INPUT_ROW"
+
+
+def read_events(
+    spark: SparkSession, path: str, with_order: bool = False, **names: str | None
+) -> tuple[DataFrame, ColumnMap]:
+    """An event table and its column names, found by alias unless given.
+
+    ``with_order`` adds INPUT_FILE and INPUT_ROW, which name a row wherever it is read, also when a
+    task is repeated; :func:`chainage.operators.events.restore_order` sorts by them.
+    """
     df = spark.read.parquet(path)
-    return df, ColumnMap.detect(df, **names)
+    found = ColumnMap.detect(df, **names)
+    if with_order:
+        taken = sorted({INPUT_FILE, INPUT_ROW} & {c.upper() for c in df.columns})
+        if taken:
+            raise ContractError(f"the input has columns of its own called {taken}")
+        place = {INPUT_FILE: F.col("_metadata.file_path"), INPUT_ROW: F.col("_metadata.row_index")}
+        df = df.withColumns(place)
+    return df, found
 
 
 def write_table(df: DataFrame, path: str, sort_by: tuple[str, ...] = ()) -> None:
@@ -20,12 +37,14 @@ def write_table(df: DataFrame, path: str, sort_by: tuple[str, ...] = ()) -> None
     ordered.write.mode("errorifexists").option("compression", "snappy").parquet(path)
 
 
-def compact(spark: SparkSession, source: str, target: str) -> None:
+def compact(spark: SparkSession, source: str, target: str, order: tuple[str, ...] = ()) -> None:
     """Rewrite many small files into few of the session's advisory partition size.
 
-    The rebalance shuffle merges small and splits large partitions at run time.
+    The rebalance shuffle merges small and splits large partitions at run time. With ``order`` the
+    rows are cut by ranges of these columns instead and sorted, so that every file holds a run of them.
     """
-    write_table(spark.read.parquet(source).hint("rebalance"), target)
+    rows = spark.read.parquet(source)
+    write_table(rows.repartitionByRange(*order) if order else rows.hint("rebalance"), target, order)
 
 
 def route_columns(df: DataFrame) -> DataFrame:

@@ -83,8 +83,31 @@ def wide_degree_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def esri_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The routes as ESRI JSON pages of two features with two paths each."""
+PER_PAGE = 2
+#: In milliseconds since 1970: the first days of 2000, 2020 and 2050.
+STARTED, ENDED, PLANNED = 946684800000, 1577836800000, 2524608000000
+
+
+def land_pages(spark: SparkSession, sf_dir: str, path: str, short: bool = False) -> int:
+    """Writes the pages as files, some routes not in force, and gives the count the service announced.
+
+    ``short`` leaves the first page out, puts a feature too many in the second, spoils the third, and adds a page that was not planned.
+    """
+    pages = esri_payloads(spark, sf_dir, ended=True).select(
+        "payload", (F.col("page") * PER_PAGE).alias("offset")
+    )
+    count = points(spark, sf_dir).select("ROUTEID").distinct().count()
+    if short:
+        extra = spark.createDataFrame([('{"features":[{}]}', 1000)], "payload string, offset bigint")
+        one = F.regexp_replace("payload", '"features":\\[', '"features":[{"attributes":{"LINKID":"more"}},')
+        pages = pages.where("offset <> 0").withColumn("payload", F.when(F.col("offset") == 2, one).when(F.col("offset") == 4, "[").otherwise(F.col("payload")))
+        pages = pages.union(extra)
+    pages.write.partitionBy("offset").text(path)
+    return count
+
+
+def esri_payloads(spark: SparkSession, sf_dir: str, ended: bool = False) -> DataFrame:
+    """The routes as ESRI JSON pages of two features with two paths each; with ``ended`` not all routes are in force."""
     vertex = F.struct("VERTEX_SEQ", "LON", "LAT", "MVAL")
     routes = points(spark, sf_dir).groupBy("ROUTEID").agg(
         F.array_sort(F.collect_list(vertex)).alias("v")
@@ -94,13 +117,20 @@ def esri_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = F.filter("v", lambda v: (v["VERTEX_SEQ"] < 300) if first else (v["VERTEX_SEQ"] >= 300))
         return F.transform(part, lambda v: F.array(v["LON"], v["LAT"], v["MVAL"], F.lit(0.0)))
 
+    kind = F.col("ROUTEID").cast("bigint") % 5 if ended else F.lit(0)
     feature = F.struct(
         F.struct(F.lit(True).alias("hasM"), F.array(path(True), path(False)).alias("paths")).alias(
             "geometry"
         ),
-        F.struct(F.col("ROUTEID").alias("LINKID"), F.size("v").alias("OBJECTID")).alias("attributes"),
+        F.struct(
+            F.col("ROUTEID").alias("LINKID"),
+            F.size("v").alias("OBJECTID"),
+            F.when(kind == 2, F.lit(PLANNED)).when(kind != 3, F.lit(STARTED)).alias("FROMDATE"),
+            F.when(kind == 1, F.lit(ENDED)).alias("TODATE"),
+            F.when(kind == 4, "X").otherwise("N").alias("ROAD_STATUS"),
+        ).alias("attributes"),
     )
-    pages = routes.select(F.expr("cast(ROUTEID as bigint) div 2").alias("page"), feature.alias("f"))
+    pages = routes.select(F.expr(f"cast(ROUTEID as bigint) div {PER_PAGE}").alias("page"), feature.alias("f"))
     body = F.struct(
         F.struct(F.lit(LAMBERT_WKT).alias("wkt")).alias("spatialReference"),
         F.collect_list("f").alias("features"),
@@ -108,8 +138,8 @@ def esri_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("page").agg(F.to_json(body).alias("payload"))
 
 
-def geojson_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """Events as FeatureCollections of 50; ``broken`` spoils some features."""
+def geojson_documents(spark: SparkSession, sf_dir: str, broken: bool = False, mixed: bool = False) -> DataFrame:
+    """Events as FeatureCollections of 50; ``broken`` spoils some features, ``mixed`` gives properties of several kinds."""
     slot = F.col("event_id") % PER_DOCUMENT
     source = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     lon = F.expr("user_id div 4") * F.lit(1000.0) + F.col("event_id") % 6000
@@ -121,13 +151,18 @@ def geojson_documents(spark: SparkSession, sf_dir: str, broken: bool = False) ->
         geometry = F.when(slot == 7, "LineString").otherwise(geometry)
         place = F.when(slot == 11, F.slice(place, 1, 1)).otherwise(place)
         route = F.when(slot == 13, F.lit(None)).otherwise(route)
+    # A struct has one type, so the mixed values are put in as JSON texts and unquoted below.
+    more = []
+    if mixed:
+        code = F.when(slot % 5 == 0, "@7@").when(slot % 5 == 1, "@true@").when(slot % 5 == 2, "seven")
+        more = [code.alias("code"), F.when(slot % 2 == 0, "@[1]@").otherwise("list").alias("shape"), F.lit("kept").alias("LAT")]
     feature = F.struct(
         "event_id",
         F.struct(
             kind.alias("type"),
             F.struct(geometry.alias("type"), place.alias("coordinates")).alias("geometry"),
             F.struct(
-                "event_id", route.alias("ROUTEID"), "event_type", F.col("k")
+                "event_id", route.alias("ROUTEID"), "event_type", F.col("k"), *more
             ).alias("properties"),
         ).alias("f"),
     )
@@ -138,7 +173,8 @@ def geojson_documents(spark: SparkSession, sf_dir: str, broken: bool = False) ->
         F.lit("FeatureCollection").alias("type"),
         F.transform("fs", lambda f: f["f"]).alias("features"),
     )
-    return documents.select("doc_id", F.to_json(body).alias("document"))
+    text = F.regexp_replace(F.to_json(body), '"@|@"', "")
+    return documents.select("doc_id", text.alias("document"))
 
 
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
