@@ -7,12 +7,19 @@ bucket has ratio 0 at every size of the corpus. A text's ratio is the mean of lo
 does not depend on length. A text is kept if its ratio reaches the threshold; no document is drawn by chance.
 
 The number of buckets follows the corpus: a power of two, one bucket at least for ``BYTES_A_BUCKET`` bytes of text. With a
-fixed number, good and bad n-grams come to share buckets as the corpus grows, and all ratios drift to 0. The
-buckets are dealt into ``SLICES`` ranges. A task counts only buckets that it met and gives one packed row per slice; rows
-are summed slice by slice, and each slice's ratios become a file in the shared folder. The driver gets the two totals
-only. A task that judges texts reads the slices once where all of them fit into ``HELD_BUCKETS``; otherwise it reads one after the
-other for every ``CHUNK`` of n-grams, so its memory does not grow with the corpus. Labels meet documents in one join on
-the id, the only shuffle of texts. Trust is decided by id; a document whose labels contradict each other is not trusted.
+fixed number, good and bad n-grams come to share buckets as the corpus grows, and all ratios drift to 0. The buckets are
+dealt into ranges, the slices. One path serves every size:
+
+1. Ids meet labels (texts stay where they are); a note of every input partition says which of its rows are trusted.
+2. Each partition's texts are cut into chunks of some ``CHUNK`` n-grams. A task counts the different buckets of a chunk and
+   sends one packed row per slice. Where a slice's rows meet, their counts are added up, and every row is answered with the sums
+   of the buckets that it had. The answers of a chunk become a file in the shared folder; the driver gets two totals.
+3. A task that judges texts cuts them into the same chunks and reads the answers of each.
+
+So all that is sent or read grows with the texts, and a task holds a chunk or a slice. Notes and answers belong to the partitions
+that the input's plan has. An input that reads no files is written to the shared folder first; one that does and shuffles or samples
+what it reads may deal its rows anew when it is read again: the ids of every row and the buckets of every answer are compared,
+and such an input is refused with an error, not judged by others' counts.
 
 Null and empty texts have no words, fail the base rules and are not kept. A text without n-grams has ratio 0. If nothing is
 trusted, the target is uniform like the smoothing, and every text's ratio is set to 0, so that only base rules decide.
@@ -22,12 +29,15 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainage.llm.common import WordHashes, gram_hashes, mix, stored, text_bytes, unwrapped, work_path, wrapped
@@ -35,9 +45,10 @@ from chainage.llm.warc_chunks import _uri
 
 LEAST_BITS = 20
 BYTES_A_BUCKET = 64
-SLICES = 512
-HELD_BUCKETS = 1 << 24
+#: Slices are this many, or as many as hold the most buckets each.
+LEAST_SLICES, MOST_BUCKETS = 512, 1 << 18
 CHUNK = 1 << 21
+SALTS = 8
 THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 5
@@ -73,6 +84,10 @@ def bits_for(size: int) -> int:
     return max(LEAST_BITS, (-(-size // BYTES_A_BUCKET) - 1).bit_length())
 
 
+def slices_for(bits: int) -> int:
+    return max(LEAST_SLICES, (1 << bits) // MOST_BUCKETS)
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """Numbers byte by byte, so that the zeros of small ones lie together and compress."""
     return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T), 1)
@@ -82,192 +97,301 @@ def unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-class Tally:
-    """Target and raw counts of the buckets met so far, sorted by bucket."""
-
-    def __init__(self):
-        self.met, self.count = np.empty(0, np.int64), np.zeros((2, 0), np.int64)
-        self.clear()
-
-    def clear(self) -> None:
-        self.new, self.waiting = ([], []), 0
-
-    def add(self, buckets: np.ndarray, trusted: bool) -> None:
-        self.new[trusted].append(buckets)
-        self.waiting += len(buckets)
-
-    def merge(self) -> None:
-        """What was added joins the sums."""
-        met, count = [self.met], [self.count]
-        for trusted, added in enumerate(self.new):
-            if added:
-                own, times = np.unique(np.concatenate(added), return_counts=True)
-                met.append(own)
-                count.append(np.stack([times * trusted, times]))
-        every, counts = np.concatenate(met), np.concatenate(count, 1)
-        order = np.argsort(every, kind="stable")
-        self.met, first = np.unique(every[order], return_index=True)
-        self.count = np.add.reduceat(counts[:, order], first, axis=1) if len(first) else counts
-        self.clear()
-
-    def flushed(self, bits: int):
-        """One row ``slice, gaps, target, raw`` for each slice met; the tally is empty then."""
-        self.merge()
-        wide = 1 << bits - SLICES.bit_length() + 1
-        cuts = np.searchsorted(self.met, np.arange(SLICES + 1) * wide)
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                yield i, planes(np.diff(self.met[a:b], prepend=i * wide)), planes(self.count[0, a:b]), planes(self.count[1, a:b])
-        self.met, self.count = np.empty(0, np.int64), np.zeros((2, 0), np.int64)
-
-
-def _rows(docs: DataFrame, *more) -> DataFrame:
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"), *more)
 
 
-@dataclass
+def _write(fs: pafs.FileSystem, path: str, table: pa.Table) -> None:
+    """Tasks tried again write the same rows; a file has its name only when it is whole."""
+    own = f"{path}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as out, pa.ipc.new_stream(out, table.schema) as to:
+        to.write_table(table)
+    fs.move(own, path)
+
+
+def _read(folder: str, name: str) -> pa.Table | None:
+    fs, at = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{at}/{name}").type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(f"{at}/{name}", compression=None) as source, pa.ipc.open_stream(source) as stream:
+        return stream.read_all()
+
+
+def _files_by(batches, names: list[str], folder: str, rest: list[str]):
+    """Writes a file for every run of rows that agree in ``names``; yields the rows of each file."""
+    fs, at = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(at, recursive=True)
+    now, held = None, []
+
+    def done():
+        table = pa.Table.from_batches(held)
+        _write(fs, f"{at}/{'-'.join(map(str, now))}", table.select(rest))
+        return table
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and keys[a] != now:
+                yield done()
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield done()
+
+
+@dataclass(frozen=True)
 class Ratios:
-    """log(target / raw) of two to the power ``bits`` buckets, in files by slice; no folder if all are 0."""
+    """What tasks need to judge texts: notes and answers by partition, and the scale of raw counts; no answers if all ratios are 0."""
 
-    folder: str | None
+    notes: str
+    answers: str | None
     bits: int
-
-    def __post_init__(self):
-        self.wide, self.held = (1 << self.bits) // SLICES, None
-
-    def slice(self, i: int) -> np.ndarray:
-        fs, at = pafs.FileSystem.from_uri(self.folder)
-        # A slice that no n-gram fell into has no file.
-        if fs.get_file_info(f"{at}/{i}").type == pafs.FileType.NotFound:
-            return np.zeros(self.wide, np.float32)
-        with fs.open_input_stream(f"{at}/{i}", compression=None) as source:
-            return np.frombuffer(source.read(), "<f4")
+    slices: int
+    chunk: int
+    scale: float = 0.0
+
+    @property
+    def wide(self) -> int:
+        return (1 << self.bits) // self.slices
+
+
+class Partition:
+    """A task's place in the notes and answers of its partition."""
+
+    def __init__(self, ratios: Ratios):
+        self.ratios, self.part = ratios, TaskContext.get().partitionId()
+        self.notes, self.row, self.chunk = None, 0, 0
+
+    def trusted(self, ids: pa.Array) -> list[bool]:
+        """For the next rows of the partition, after their ids were compared."""
+        if not len(ids):
+            return []
+        if self.notes is None:
+            self.notes = _read(self.ratios.notes, str(self.part))
+        found = self.notes.slice(self.row, len(ids)) if self.notes is not None else None
+        self.row += len(ids)
+        if found is None or found["doc_id"].combine_chunks() != ids:
+            raise RuntimeError("the input dealt its rows anew; write it to a table first")
+        return found["good"].to_pylist()
+
+    def pieces(self, met: np.ndarray):
+        """Slice, and where it begins and ends in the sorted buckets."""
+        cuts = np.searchsorted(met, np.arange(self.ratios.slices + 1) * self.ratios.wide)
+        for i in np.flatnonzero(np.diff(cuts)):
+            yield int(i), int(cuts[i]), int(cuts[i + 1])
 
     def of(self, buckets: np.ndarray) -> np.ndarray:
-        """The ratios of some buckets."""
-        if self.folder is None or not len(buckets):
+        """The ratios of all n-grams of the next chunk."""
+        name, self.chunk = f"{self.part}-{self.chunk}", self.chunk + 1
+        if self.ratios.answers is None or not len(buckets):
             return np.zeros(len(buckets))
-        if self.wide * SLICES <= HELD_BUCKETS:
-            if self.held is None:
-                self.held = np.concatenate([self.slice(i) for i in range(SLICES)])
-            return self.held[buckets].astype(float)
-        order = np.argsort(buckets)
-        out, own = np.empty(len(buckets)), buckets[order]
-        cuts = np.searchsorted(own, np.arange(SLICES + 1) * self.wide)
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                out[order[a:b]] = self.slice(i)[own[a:b] - i * self.wide]
-        return out
-
-
-def _bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
-    """``slice, target, raw, n_target, n_raw``: the packed counts of all buckets of each slice met, and their sums."""
-    names, wide = ["slice", "gaps", "target", "raw"], (1 << bits) // SLICES
-
-    def counts(batches):
-        hashes, tally = WordHashes(9), Tally()
-        packed = lambda: (pa.RecordBatch.from_arrays([pa.array([x]) for x in r], names) for r in tally.flushed(bits))
-        for batch in batches:
-            for good, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text:
-                    tally.add(buckets_of(hashes.of(text.split()), bits), good)
-                if tally.waiting > CHUNK:
-                    tally.merge()
-                    if len(tally.met) > 2 * CHUNK:
-                        yield from packed()
-        yield from packed()
-
-    def summed(batches):
-        now, total = None, None
-
-        def done():
-            own = [pa.array([x]) for x in (now, planes(total[0]), planes(total[1]), int(total[0].sum()), int(total[1].sum()))]
-            return pa.RecordBatch.from_arrays(own, ["slice", "target", "raw", "n_target", "n_raw"])
-
-        for batch in batches:
-            for i, gaps, target, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if i != now:
-                    if now is not None:
-                        yield done()
-                    now, total = i, np.zeros((2, wide), np.int64)
-                at = unplaned(gaps).cumsum()
-                total[0, at] += unplaned(target)
-                total[1, at] += unplaned(raw)
-        if now is not None:
-            yield done()
-
-    return (
-        rows.mapInArrow(counts, "slice bigint, gaps binary, target binary, raw binary")
-        .repartition("slice")
-        .sortWithinPartitions("slice")
-        .mapInArrow(summed, "slice bigint, target binary, raw binary, n_target bigint, n_raw bigint")
-    )
-
-
-def log_ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
-    """log(target / raw) of every bucket."""
+        met, which = np.unique(buckets, return_inverse=True)
+        answers = _read(self.ratios.answers, name)
+        rows = {r["slice"]: r for r in answers.to_pylist()} if answers is not None else {}
+        out = np.empty(len(met))
+        for i, a, b in self.pieces(met):
+            row = rows.get(i)
+            if row is None or row["crc"] != zlib.crc32(met[a:b].tobytes()):
+                raise RuntimeError("the input dealt its rows anew; write it to a table first")
+            target, raw = unplaned(row["target"]), unplaned(row["raw"])
+            out[a:b] = np.log((target + 1) / (raw * self.ratios.scale + 1)).astype("<f4")
+        return out[which]
+
+
+def _noted(docs: DataFrame, labels: DataFrame, folder: str) -> int:
+    """Writes a note of every partition: its rows' ids in order and whether they are trusted. Gives the bytes of text."""
     trusted = (
         labels.filter("doc_id is not null")
         .groupBy(F.col("doc_id").cast("bigint").alias("trusted_id"))
         .agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
         .filter("good")
-        .select("trusted_id")
+        .select("trusted_id", F.explode(F.lit(list(range(SALTS)))).alias("trusted_salt"))
     )
-    size = docs.select(F.octet_length(text_bytes()).cast("bigint").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = bits_for(size)
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.octet_length(text_bytes()).cast("bigint").alias("n_bytes"),
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().alias("at"),
+    ).withColumn("salt", F.pmod("at", F.lit(SALTS)).cast("int"))
+    met = (F.col("doc_id") == F.col("trusted_id")) & (F.col("salt") == F.col("trusted_salt"))
     # Labels grow with the corpus: the plan is the same for every size, not a broadcast that ends one day.
-    rows = _rows(docs).join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left").select(
-        F.col("trusted_id").isNotNull().alias("trusted"), "text"
+    joined = rows.join(trusted.hint("merge"), met, "left").select(
+        "part", "at", "doc_id", F.col("trusted_id").isNotNull().alias("good"), "n_bytes"
     )
-    counted = stored(_bucket_counts(rows, bits), "llr-counts")
-    n_target, n_raw = counted.agg(F.sum("n_target"), F.sum("n_raw")).first()
-    if not n_target:
-        return Ratios(None, bits)
-    folder, scale = _uri(work_path(docs.sparkSession, "llr-ratios")), n_target / n_raw
 
     def written(batches):
-        fs, at = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(at, recursive=True)
+        for table in _files_by(batches, ["part"], folder, ["doc_id", "good"]):
+            total = pa.compute.sum(table["n_bytes"]).as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n_bytes"])
+
+    ordered = joined.repartition("part").sortWithinPartitions("part", "at")
+    return ordered.mapInArrow(written, "n_bytes bigint").agg(F.sum("n_bytes")).first()[0] or 0
+
+
+_ASKED = "slice bigint, part int, chunk int, gaps binary, target binary, raw binary"
+_ANSWERED = "part int, chunk int, slice bigint, crc bigint, target binary, raw binary, n_target bigint, n_raw bigint"
+
+
+def _asked(ratios: Ratios) -> Callable:
+    """Per chunk of texts and slice: the different buckets and how often they occur, in trusted and in all texts."""
+
+    def asked(batches):
+        hashes, partition = WordHashes(9), Partition(ratios)
+        buckets, good, size = [], [], 0
+
+        def packed():
+            every = np.concatenate(buckets) if buckets else np.empty(0, np.int64)
+            met, which, raw = np.unique(every, return_inverse=True, return_counts=True)
+            weights = np.repeat(np.array(good, float), [len(b) for b in buckets])
+            target = np.bincount(which, weights, len(met)).astype(np.int64)
+            rows = [
+                (i, partition.part, partition.chunk, planes(np.diff(met[a:b], prepend=i * ratios.wide)), planes(target[a:b]), planes(raw[a:b]))
+                for i, a, b in partition.pieces(met)
+            ]
+            partition.chunk += 1
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "part", "chunk", "gaps", "target", "raw"]
+            )
+
         for batch in batches:
-            for i, target, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # Tasks tried again write the same bytes; a file has its name only when it is whole.
-                own = f"{at}/{i}-{uuid.uuid4().hex}"
-                with fs.open_output_stream(own, compression=None) as out:
-                    out.write(np.log((unplaned(target) + 1) / (unplaned(raw) * scale + 1)).astype("<f4").tobytes())
-                fs.move(own, f"{at}/{i}")
-            yield batch.select(["slice"])
+            trusted = partition.trusted(batch.column(0))
+            for is_good, text in zip(trusted, batch.column(1).to_pylist(), strict=True):
+                buckets.append(buckets_of(hashes.of(text.split()), ratios.bits))
+                good.append(is_good)
+                size += len(buckets[-1])
+                if size >= ratios.chunk:
+                    yield packed()
+                    buckets, good, size = [], [], 0
+        if buckets:
+            yield packed()
+
+    return asked
+
 
-    counted.select("slice", "target", "raw").mapInArrow(written, "slice bigint").count()
-    return Ratios(folder, bits)
+def _answered(wide: int) -> Callable:
+    """For rows sorted by slice: a row of totals per slice (its part is -1), and an answer to each row."""
 
+    def answered(batches):
+        now, held = None, []
 
-def verdicts(texts: list, hashes: WordHashes, ratios: Ratios, threshold: float):
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept`` of each text."""
-    waiting, buckets, size = [], [], 0
+        def done():
+            total = np.zeros((2, wide), np.int64)
+            for _, _, gaps, target, raw in held:
+                at = unplaned(gaps).cumsum()
+                total[0, at] += unplaned(target)
+                total[1, at] += unplaned(raw)
+            yield -1, now, now, 0, b"", b"", int(total[0].sum()), int(total[1].sum())
+            for part, chunk, gaps, _, _ in held:
+                at = unplaned(gaps).cumsum()
+                crc = zlib.crc32((at + now * wide).tobytes())
+                yield part, chunk, now, crc, planes(total[0, at]), planes(total[1, at]), 0, 0
+
+        def batched():
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            names = ["part", "chunk", "slice", "crc", "target", "raw", "n_target", "n_raw"]
+            columns = zip(*done(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            for i, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i != now:
+                    if held:
+                        yield batched()
+                    now, held = i, []
+                held.append(row)
+        if held:
+            yield batched()
+
+    return answered
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """The input itself if it reads files, else a written copy."""
+    return docs if docs.inputFiles() else stored(docs, "llr-input")
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> Ratios:
+    """Learns log(target / raw) of all buckets and files, for every chunk of texts, those that it holds."""
+    notes, answers = (_uri(work_path(docs.sparkSession, f"llr-{name}")) for name in ("notes", "answers"))
+    bits = bits_for(_noted(docs, labels, notes))
+    learning = Ratios(notes, None, bits, slices_for(bits), CHUNK)
+
+    def filed(batches):
+        totals = [0, 0]
+
+        def answers_only():
+            for batch in batches:
+                for k, name in enumerate(("n_target", "n_raw")):
+                    totals[k] += pa.compute.sum(batch.column(name)).as_py() or 0
+                yield batch.filter(pa.compute.greater_equal(batch.column("part"), 0))
+
+        for _ in _files_by(answers_only(), ["part", "chunk"], answers, ["slice", "crc", "target", "raw"]):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()) for t in totals], ["n_target", "n_raw"])
+
+    asked = _rows(docs).mapInArrow(_asked(learning), _ASKED)
+    answered = (
+        asked.repartition("slice").sortWithinPartitions("slice").mapInArrow(_answered(learning.wide), _ANSWERED)
+    )
+    totals = (
+        answered.repartition("part", "chunk")
+        .sortWithinPartitions("part", "chunk", "slice")
+        .mapInArrow(filed, "n_target bigint, n_raw bigint")
+        .agg(F.sum("n_target"), F.sum("n_raw"))
+        .first()
+    )
+    if not totals[0]:
+        return learning
+    return replace(learning, answers=answers, scale=totals[0] / totals[1])
+
+
+def verdicts(batches, ratios: Ratios, threshold: float):
+    """Slices of batches whose first columns are id and text, with ``n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, ratio, kept`` of each text."""
+    hashes, partition = WordHashes(9), Partition(ratios)
+    pending, counts, buckets, size = [], [], [], 0
 
     def judged():
-        found = ratios.of(np.concatenate(buckets))
+        found = partition.of(np.concatenate(buckets))
         ends = np.cumsum([len(b) for b in buckets])
-        for (n_words, counts), own in zip(waiting, np.split(found, ends[:-1]), strict=True):
+        out = []
+        for (n_words, base), own in zip(counts, np.split(found, ends[:-1]), strict=True):
             ratio = float(own.mean()) if n_words else 0.0
-            failed = n_words < 10 or 100 * counts[3] > 20 * n_words
-            yield (n_words, *counts, failed, ratio, not failed and ratio >= threshold)
-
-    for text in texts:
-        words = text.split()
-        h = hashes.of(words)
-        waiting.append((len(words), base_counts(text, h) if text else (0, 0, 0, 0)))
-        buckets.append(buckets_of(h, ratios.bits))
-        size += len(buckets[-1])
-        if size > CHUNK:
-            yield from judged()
-            waiting, buckets, size = [], [], 0
-    if waiting:
+            failed = n_words < 10 or 100 * base[3] > 20 * n_words
+            out.append((n_words, *base, failed, ratio, not failed and ratio >= threshold))
+        at = 0
+        for part in pending:
+            yield part, out[at : at + part.num_rows]
+            at += part.num_rows
+
+    for batch in batches:
+        partition.trusted(batch.column(0))
+        start = 0
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            words = text.split()
+            h = hashes.of(words)
+            counts.append((len(words), base_counts(text, h) if text else (0, 0, 0, 0)))
+            buckets.append(buckets_of(h, ratios.bits))
+            size += len(buckets[-1])
+            if size >= ratios.chunk:
+                pending.append(batch.slice(start, i + 1 - start))
+                yield from judged()
+                start, pending, counts, buckets, size = i + 1, [], [], [], 0
+        if start < batch.num_rows:
+            pending.append(batch.slice(start))
+    if counts:
         yield from judged()
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``ratio`` and ``kept`` of every row."""
+    docs = settled(docs)
     ratios = log_ratios(docs, labels)
     kinds = {
         "doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(),
@@ -276,12 +400,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     }
 
     def judged(batches):
-        hashes = WordHashes(9)
-        for batch in batches:
-            found = verdicts(batch.column(1).to_pylist(), hashes, ratios, threshold)
+        for part, found in verdicts(batches, ratios, threshold):
             columns = list(zip(*found, strict=True)) or [()] * 8
             arrays = [pa.array(c, t) for c, t in zip(columns, list(kinds.values())[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], list(kinds))
+            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], list(kinds))
 
     return _rows(docs).mapInArrow(
         judged,
@@ -292,14 +414,14 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The kept rows with all their columns; a map that drops rows where they lie."""
+    docs = settled(docs)
     ratios = log_ratios(docs, labels)
-    rows = wrapped(docs, text_bytes().alias("text")).select("text", "row")
+    rows = wrapped(docs, F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text")).select("doc_id", "text", "row")
 
     def chosen(batches):
-        hashes = WordHashes(9)
-        for batch in batches:
-            kept = [v[-1] for v in verdicts(batch.column(0).to_pylist(), hashes, ratios, threshold)]
-            yield pa.RecordBatch.from_arrays([batch.column(1)], ["row"]).filter(pa.array(kept, pa.bool_()))
+        for part, found in verdicts(batches, ratios, threshold):
+            kept = pa.array([v[-1] for v in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(2)], ["row"]).filter(kept)
 
     kind = rows.schema["row"].dataType.simpleString()
     return unwrapped(rows.mapInArrow(chosen, f"row {kind}"), docs.columns)

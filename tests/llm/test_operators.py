@@ -541,24 +541,42 @@ def brute_ratios(rows, labels) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("held", [llr.HELD_BUCKETS, 0])
-def test_ratios_equal_brute_force(spark, docs, monkeypatch, held):
-    """Also where tasks flush their counts early and read the slices one by one."""
+@pytest.mark.parametrize("chunk", [llr.CHUNK, 300, 1])
+@pytest.mark.parametrize("parts", [3, 1])
+def test_ratios_equal_brute_force(spark, docs, monkeypatch, chunk, parts):
+    """Also where partitions are cut into many chunks."""
     labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 60, 2)] + [(None, 1, 0), (8, 0, 0), (11, 1, None)]
     given = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     rows = [(r[0], r[1]) for r in rows_of(1)]
-    if not held:
-        monkeypatch.setattr(llr, "CHUNK", 300)
+    monkeypatch.setattr(llr, "CHUNK", chunk)
     want = sorted((text_key(i), *w) for (i, _), w in zip(rows, brute_ratios(rows, labels), strict=True))
-    ratios = llr.log_ratios(docs, given)
-    monkeypatch.setattr(llr, "HELD_BUCKETS", held)
-    hashes = llr.WordHashes(9)
-    found = list(llr.verdicts([(t or "").encode() for _, t in rows], hashes, ratios, llr.THRESHOLD))
-    got = sorted((text_key(i), v[6], v[7]) for (i, _), v in zip(rows, found, strict=True))
+    got = sorted((text_key(r.doc_id), r.ratio, r.kept) for r in llr.judge(docs.repartition(parts), given).collect())
     assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
     assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-5)
-    judged = sorted((text_key(r.doc_id), r.ratio, r.kept) for r in llr.judge(docs, given).collect())
-    assert judged == got
+    kept = llr.keep_good(docs.repartition(parts), given).collect()
+    assert sorted(text_key(r.doc_id) for r in kept) == sorted(w[0] for w in want if w[2])
+
+
+def test_slices_follow_the_buckets(spark, docs, monkeypatch):
+    """More slices of fewer buckets give the same ratios."""
+    given = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id bigint, quality int, toxic int")
+    want = sorted((text_key(r.doc_id), r.ratio) for r in llr.judge(docs, given).collect())
+    assert llr.slices_for(29) == 2048 and llr.slices_for(20) == 512
+    monkeypatch.setattr(llr, "MOST_BUCKETS", 1 << 9)
+    assert llr.slices_for(20) == 2048
+    assert sorted((text_key(r.doc_id), r.ratio) for r in llr.judge(docs, given).collect()) == want
+
+
+def test_input_that_moves_is_refused(spark, docs):
+    """Rows other than those that were learnt from are noticed, never judged by others' counts."""
+    given = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id bigint, quality int, toxic int")
+    docs = llr.settled(docs)
+    ratios = llr.log_ratios(docs, given)
+    for moved in (docs.repartition(5), docs.where("doc_id > 3"), docs.withColumn("text", llr.F.lit("other words"))):
+        rows = llr._rows(moved)
+        schema = rows.schema
+        with pytest.raises(Exception, match="dealt its rows anew"):
+            rows.mapInArrow(lambda batches: (part for part, _ in llr.verdicts(batches, ratios, 0.0)), schema).collect()
 
 
 def test_bad_texts_stay_apart_in_a_corpus_of_many_pairs(spark):
