@@ -1,13 +1,16 @@
 """License scans by template markup.
 
 A template is a text with markup: ``<<beginOptional>> ... <<endOptional>>`` may be left out, and
-``<<var;name=...;match=...>>`` is replaceable: ``.+`` stands for any words, one at least, ``.*`` for any words or none, ``.{a,b}`` for a to b words, and any other
-pattern for up to 8 words that match it when joined by blanks. Everything else is mandatory. Templates are compiled
+``<<var;name=...;match=...>>`` is replaceable: ``.+`` stands for any words, one at least, ``.*`` for any words or none, ``.{a,b}`` for a to b words, a
+repeated class such as ``[a-z ]+`` with a blank in it for words of it, and any other pattern for a run of words, of
+whatever number, that match it when joined by blanks. Everything else is mandatory. Templates are compiled
 into token automata; a text has a template's label where a run of its words is accepted, so the mandatory wording
 must match exactly, in words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lowered.
 
-An automaton starts only at words that can begin its template, and only in texts that contain every mandatory run
-of words; the rest is a map over the documents without a shuffle. Apart from templates, plain phrases are counted
+An automaton reads a text once, from every place at the same time: its states after a word are those that any place before leads
+to, so the work grows with the text's length, however often a template's opening is repeated. (Only a pattern of the last sort is
+compared anew with every further word of its run.) Texts that lack a mandatory run of words are passed over. All is a map over
+the documents without a shuffle. Apart from templates, plain phrases are counted
 wherever their words stand consecutively, overlapping places included.
 
 The score is 0 without a finding, 0.5 with phrases only and 1 with an accepted template. Null and empty texts have no words.
@@ -18,7 +21,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +55,18 @@ TEMPLATES = {
         <<beginOptional>>THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
         NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
         EVENT SHALL <<var;name=holder;match=.+>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY<<endOptional>>""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+        <<beginOptional>>If a copy of the MPL was not distributed with this file, You can obtain one at<<endOptional>>""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will
+        <<var;name=holder;match=.+>> be held liable for any damages arising from the use of this software. Permission is granted
+        to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it
+        freely, subject to the following restrictions""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+        modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""",
+    "bsl-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+        software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software""",
     "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
         purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
         notice appear in all copies.""",
@@ -66,18 +83,21 @@ TEMPLATES = {
 
 @dataclass
 class Automaton:
-    """States 0..n; ``words[s]``: the states after a word, ``any[s]``: after any word, ``skip[s]``: without one."""
+    """States 0..n; ``words[s]``: the states after a word, ``any[s]``: after any word, ``like[s]``: after a word that
+    matches, ``skip[s]``: without a word. ``runs``: from a state, words that match when joined, to a state."""
 
     words: list[dict[bytes, list[int]]] = field(default_factory=lambda: [{}])
     any: list[list[int]] = field(default_factory=lambda: [[]])
+    like: list[list[tuple[regex.Pattern, int]]] = field(default_factory=lambda: [[]])
     skip: list[list[int]] = field(default_factory=lambda: [[]])
-    runs: list[tuple[int, re.Pattern, int]] = field(default_factory=list)
+    runs: list[tuple[int, regex.Pattern, int]] = field(default_factory=list)
     mandatory: list[bytes] = field(default_factory=list)
     end: int = 0
 
     def state(self) -> int:
         self.words.append({})
         self.any.append([])
+        self.like.append([])
         self.skip.append([])
         return len(self.skip) - 1
 
@@ -93,29 +113,40 @@ class Automaton:
     def firsts(self) -> set[bytes] | None:
         """The words that can begin a text, None if any can."""
         start = self.closed({0})
-        if any(self.any[s] for s in start) or any(s == r[0] for r in self.runs for s in start):
+        if any(self.any[s] or self.like[s] for s in start) or any(s == r[0] for r in self.runs for s in start):
             return None
         return {w for s in start for w in self.words[s]}
 
-    def accepts(self, words: list[bytes], at: int) -> int:
-        """The end of the longest accepted run from ``at``, or -1."""
-        active, longest, i = self.closed({0}), -1, at
-        arriving: dict[int, set[int]] = {}
-        while active or arriving:
-            if self.end in active:
-                longest = i
-            for begin, pattern, to in self.runs:
+    def found_in(self, words: list[bytes], first: set[bytes] | None) -> bool:
+        """Is any run of one word at least accepted? ``first`` is what ``firsts`` gives."""
+        start, active = self.closed({0}), set()
+        # Where a run of words that may yet match begins, for each of the runs.
+        begun: list[list[int]] = [[] for _ in self.runs]
+        for i, word in enumerate(words):
+            if first is None or word in first:
+                active = active | start
+            elif not active and not any(begun):
+                continue
+            after = set()
+            for s in active:
+                after.update(self.words[s].get(word, ()))
+                after.update(self.any[s])
+                after.update(to for pattern, to in self.like[s] if pattern.fullmatch(word))
+            for k, (begin, pattern, to) in enumerate(self.runs):
                 if begin in active:
-                    for n in range(1, min(8, len(words) - i) + 1):
-                        if pattern.fullmatch(b" ".join(words[i : i + n])):
-                            arriving.setdefault(i + n, set()).add(to)
-            if i >= len(words):
-                break
-            after = {t for s in active for t in self.words[s].get(words[i], ())}
-            after.update(t for s in active for t in self.any[s])
-            i += 1
-            active = self.closed(after | arriving.pop(i, set()))
-        return longest
+                    begun[k].append(i)
+                left = []
+                for b in begun[k]:
+                    match = pattern.fullmatch(b" ".join(words[b : i + 1]), partial=True)
+                    if match:
+                        left.append(b)
+                        if not match.partial:
+                            after.add(to)
+                begun[k] = left
+            active = self.closed(after)
+            if self.end in active:
+                return True
+        return False
 
 
 def compile_template(template: str) -> Automaton:
@@ -167,7 +198,19 @@ def _replaceable(a: Automaton, now: int, pattern: str) -> int:
     bounds = re.fullmatch(r"\.(?:(\+)|(\*)|\{(\d+),(\d+)\})", pattern)
     after = a.state()
     if not bounds:
-        a.runs.append((now, re.compile(pattern.encode()), after))
+        repeated = re.fullmatch(r"(\[\^?[^\[\]]+\])([+*])", pattern)
+        whole = regex.compile(pattern.encode())
+        if whole.fullmatch(b""):
+            a.skip[now].append(after)
+        if repeated and regex.fullmatch(repeated[1].encode(), b" "):
+            # Blanks belong to the class, so every word of its characters may follow.
+            word = regex.compile(f"{repeated[1]}+".encode())
+            a.like[now].append((word, after))
+            a.like[after].append((word, after))
+            then = a.state()
+            a.skip[after].append(then)
+            return then
+        a.runs.append((now, whole, after))
         return after
     if not bounds[3]:
         # A state that any word leads back to; with .+ the first word leads there.
@@ -198,18 +241,20 @@ class Scanner:
     def scan(self, text: bytes) -> dict:
         words = alnum_words(text)
         joined = b" " + b" ".join(words) + b" "
-        places, base, own = [], set(), set()
+        places, base, own, blanks = [], set(), set(), None
         for phrase, label in self.phrases:
             needle = b" " + b" ".join(phrase) + b" "
-            at = joined.find(needle)
+            hits, at = [], joined.find(needle)
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
-                base.add(label)
+                hits.append(at)
                 at = joined.find(needle, at + 1)
+            if hits:
+                if blanks is None:
+                    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+                places += np.searchsorted(blanks, hits).tolist()
+                base.add(label)
         for (label, a), first, mandatory in zip(self.templates, self.first, self.mandatory, strict=True):
-            if all(m in joined for m in mandatory) and any(
-                a.accepts(words, i) > i for i, w in enumerate(words) if first is None or w in first
-            ):
+            if all(m in joined for m in mandatory) and a.found_in(words, first):
                 own.add(label)
         return {
             "n_words": len(words),

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -19,7 +20,7 @@ from chainage.llm import quality_gbdt as gbdt
 from chainage.llm import quality_llr as llr
 from chainage.llm import simhash_pivots as simhash
 from chainage.llm.components import components
-from chainage.llm.license_templates import Scanner, compile_template, scan_licenses
+from chainage.llm.license_templates import PHRASES, TEMPLATES, Scanner, compile_template, scan_licenses
 from chainage.llm.packing import Encoder, cut, pack_documents, pack_lengths
 from chainage.llm.pii_surrogates import assign, pseudonymise
 from chainage.llm.token_viterbi import Counter as TokenCounter
@@ -484,6 +485,61 @@ def test_replaceable_text_may_be_long(match, least):
         assert (scanner.scan(f"x by {'word ' * n}only y".encode())["labels"] == "t") == (n >= least)
 
 
+def as_regex(template: str) -> re.Pattern:
+    """A template as a regular expression over words that each follow a blank."""
+    out = ""
+    for part in re.split(r"(<<.*?>>)", template):
+        kind = part[2:-2]
+        if not part.startswith("<<"):
+            out += "".join(f" {w}" for w in ALNUM.findall(part.translate(LOWER)))
+        elif kind == "beginOptional":
+            out += "(?:"
+        elif kind == "endOptional":
+            out += ")?"
+        else:
+            match = kind.split("match=")[1]
+            bounds = re.fullmatch(r"\.(\+|\*|\{\d+,\d+\})", match)
+            if bounds:
+                out += f"(?: [^ ]+){bounds[1]}"
+            else:
+                out += f"(?:{'|' if re.fullmatch(match, '') else ''} (?:{match})(?= ))"
+    return re.compile(out + "(?= )")
+
+
+@pytest.mark.parametrize(
+    "template",
+    [
+        "a b", "a <<beginOptional>>b<<endOptional>> a", "<<beginOptional>>b<<endOptional>> a a",
+        "a <<beginOptional>>b <<beginOptional>>c a<<endOptional>><<endOptional>> b", "a <<var;match=.+>> c", "a <<var;match=.*>> c b",
+        "a <<var;match=.{1,2}>> c", "c <<var;match=[ab ]+>> 1", "c <<var;match=[ab ]*>> 1", "c <<var;match=[ab]+>> 1",
+        "b <<var;match=(a|a b|a b c a b c a b c a b c)>> 1", "<<var;match=(?:a b ?)+>> 1", "<<var;match=[^1]+>> 1", "b <<var;match=(c)?>> a",
+        "<<beginOptional>>a<<endOptional>> <<beginOptional>>b<<endOptional>>", "a <<var;match=.+>> <<var;match=.+>> b",
+    ],
+)
+def test_labels_equal_brute_force(template):
+    scanner, want = Scanner({}, {"t": template}), as_regex(template)
+    rnd, seen = random.Random(5), set()
+    for n in [*range(12)] * 40 + [30] * 20:
+        words = rnd.choices(["a", "b", "c", "1"], [4, 4, 2, 1], k=n)
+        found = want.search("".join(f" {w}" for w in words) + " ")
+        expected = bool(found and found[0].strip())
+        assert (scanner.scan(" ".join(words).encode())["labels"] == "t") == expected, words
+        seen.add(expected)
+    assert seen == {True, False}
+
+
+def test_work_grows_with_the_text():
+    """Openings and phrases over and over: a page of them once took minutes."""
+    opening = "Permission is hereby granted, free of charge, to any person obtaining a copy of "
+    closing = re.sub(r"<<.*?>>", " ", TEMPLATES["mit-text"]).encode()
+    scanner = Scanner(PHRASES, TEMPLATES)
+    for text in ((opening * 4000).encode() + closing, b"cc by " * 80_000, b"licensed under the terms of the " * 20_000):
+        begin = time.perf_counter()
+        scanner.scan(text)
+        assert time.perf_counter() - begin < 5
+    assert scanner.scan(b"cc by " * 1000)["last_word"] == 1998
+
+
 @pytest.mark.parametrize("template", ["a <<beginOptional>> b", "a <<endOptional>>", "a <<what>>"])
 def test_bad_markup_is_refused(template):
     with pytest.raises(ValueError):
