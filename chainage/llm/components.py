@@ -30,7 +30,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``u, v``: every linked node that is not the smallest of its component, and that smallest node.
 
     ``links`` has two columns of one ordered type without nulls; repeated links and links to itself are allowed.
@@ -38,10 +38,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     a, b = links.columns
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     now, before = stored(now, "links"), None
-    for _ in range(rounds):
+    while True:
+        # Every round that changes anything brings a node nearer to the smallest, so there is a last one.
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return now
         before = state
         now = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
-    raise RuntimeError(f"no fixed point after {rounds} rounds")

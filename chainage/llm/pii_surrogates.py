@@ -1,19 +1,28 @@
 """PII: surrogates for detected entities, in DataFrame functions only.
 
-Found are e-mail addresses, IPv4 addresses, phone numbers, card numbers, IBANs, social security numbers, secrets (keys, long
-hexadecimal tokens, values given to ``password=`` and the like) and names after a title. Every entity gets a keyed
-surrogate of its type: digits become digits, letters letters of the same case, signs stay; a card keeps its first digit and
-its valid check digit, an IBAN its country and valid check digits, a phone number its country code, an e-mail address its top-level domain and
-equal domains stay equal; names follow the title's gender and the script.
-
-Spellings of one entity (separators, case of an address) share a canonical form, hence a surrogate, in all documents; a
-surname, the last word after the titles, has one surrogate with or without first names. All surrogates of a type are checked: where two
+What is found, each of any length unless its format has one:
+
+- e-mail addresses, also with letters beyond ASCII; IPv4 addresses; IPv6 addresses with a digit, in full or with ``::``;
+- phone numbers with a country code, ``555-123-4567`` and the like, and national ones with a leading 0 (``0171 2345678``, ``01 23 45 67 89``);
+- card numbers of 13 to 19 digits, plain or in their usual groups; IBANs; US social security numbers with hyphens;
+- secrets: AWS key ids, ``ghp_``, ``gho_``, ``sk_``, ``pk_`` keys (or with a hyphen), JSON web tokens, 32 and more lower-case hexadecimal
+  digits (not all the same), and 6 or more characters without blanks or quotes given with ``=`` or ``:`` to password, passwd, pwd, secret, token, api_key, access_key;
+- names after one or more titles: all words with a capital that follow, the last as the surname. Names without a title are not found.
+
+Every entity gets a keyed surrogate of its type: digits become digits, letters letters of the same script and case, signs stay; a card
+keeps its first digit and its valid check digit, an IBAN its country and valid check digits, a phone number its country code or
+leading 0, an e-mail address its top-level domain and equal domains stay equal; names follow the script, and the gender
+of the titles that a first name has in the corpus (neutral names stand in for first names that have both or none).
+
+Spellings of one entity (separators, case) share a canonical form, hence a surrogate, in all documents; a first name
+and a surname have one surrogate each, whatever the title. All surrogates of a type are checked: where two
 entities would get the same one, or one that is itself an entity of the corpus, all but one try again with the next
-attempt number, until none is left. So different entities stay different.
+attempt number, until none is left. So different entities stay different. Names, addresses and secrets get longer with further
+attempts, so there are always enough; a format of fixed length that the corpus exhausts raises after many attempts.
 
-Only texts with findings are shuffled, once; entities are joined as pairs of a text's digest and a canonical form, so a
-frequent entity or text is an ordinary join key that adaptive execution may split. Null texts stay null, texts without
-findings are unchanged, repeated rows get equal results. ``n_chars``, if there is such a column, follows the text.
+Only texts with findings are shuffled, once; a finding is a row that is joined with its entities' surrogates, under
+several keys for one entity, as it may be frequent. Null texts stay null, texts without
+findings are unchanged, repeated rows get equal results; the work grows with the length of a text. ``n_chars``, if there is such a column, follows the text.
 """
 
 from __future__ import annotations
@@ -25,9 +34,9 @@ from chainage.llm.common import stored, unwrapped, wrapped
 
 # Titles and the names that stand in for others, by gender (m, f, n) and script.
 TITLES = {
-    "m": "Mr|Herr|Señor|Monsieur|Signor|Господин|г-н|Κύριος",
-    "f": "Mrs|Ms|Miss|Frau|Señora|Madame|Signora|Госпожа|г-жа|Κυρία",
-    "n": "Dr|Prof",
+    "m": "Mr|MR|Sir|Lord|Herr|Señor|Monsieur|Signor|Господин|г-н|Κύριος",
+    "f": "Mrs|MRS|Ms|Miss|Lady|Frau|Señora|Madame|Signora|Госпожа|г-жа|Κυρία",
+    "n": "Dr|DR|Prof|PROF",
 }
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul Robert Simon Tom Victor",
@@ -46,29 +55,42 @@ SYLLABLES = {
     "greek": "βαρ δεν φερ γον χαλ κιμ λορ μαρ νελ πας ρος ταν ζορ",
 }
 
+# Possessive quantifiers (++, *+) keep the matching linear and free of recursion, however long a text is.
 _TITLE = "|".join(TITLES.values())
-_TITLED = rf"(?:(?:{_TITLE})\.? )+"
-_NAME = r"\p{Lu}[\p{Ll}’\-]+(?:-\p{Lu}\p{Ll}+)?"
-_ASSIGNED = r"(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}=\s{0,3}[\"']?"
-_SECRET = r"AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk)_[A-Za-z0-9_]{16,80}"
+_TITLED = rf"(?:(?:{_TITLE})\.? )++"
+_NAME = r"\p{Lu}(?:[\p{L}\-]|[’'](?=\p{Lu}))++"
+_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s*+[=:]\s*+[\"']?"
+_SECRET = (
+    r"AKIA[0-9A-Z]{16,}+|(?:ghp|gho|sk|pk)[_\-][A-Za-z0-9_\-]{16,}+"
+    r"|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]*+"
+)
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_IPV6 = rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)"
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-        rf"\b{_ASSIGNED}(?=[!-~&&[^\"']]{{0,120}}[0-9])[!-~&&[^\"']]{{6,128}}",
+        r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}.\-]*[\p{L}\p{N}\-]\.\p{L}{2,}+",
+        rf"(?<![A-Za-z0-9]){_ASSIGNED}[^\s\"']{{6,}}+",
         rf"(?<![A-Za-z0-9])(?:{_SECRET})(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+        # A run of one and the same character is no secret.
+        r"(?<![A-Za-z0-9])(?!([a-f])\1++(?![A-Za-z0-9]))(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
+        rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+        rf"(?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]*[0-9]){_IPV6}(?![\p{{L}}\p{{N}}:])",
         r"(?<![0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])",
         r"(?<![0-9A-Za-z\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-])",
+        r"(?<![0-9A-Za-z.\-])0[0-9]{2,4}[ /\-][0-9]{5,8}(?![0-9\-])",
+        r"(?<![0-9A-Za-z.\-])0[0-9](?:[ .][0-9]{2}){4}(?![0-9]|[.\-][0-9])",
         r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
         r"(?<![0-9\-])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
         # Any number of titles and words; a title before a further name begins the next finding.
-        rf"\b{_TITLED}{_NAME}(?: (?!(?:{_TITLE})\.? \p{{Lu}}){_NAME})*",
+        rf"(?<!(?:{_TITLE})\.? )\b{_TITLED}{_NAME}(?: (?!(?:{_TITLE})\.? \p{{Lu}}){_NAME})*+",
     ]
 )
 #: A cheap first look: every pattern needs one of these. Secrets may consist of letters only.
-_HINT = rf"[0-9@]|AKIA|(?:ghp|gho|sk|pk)_|[a-f]{{32}}|\b(?:{_TITLE})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|AKIA|(?:ghp|gho|sk|pk)[_\-]|eyJ|[a-f]{{32}}|{_ASSIGNED}|\b(?:{_TITLE})\.? \p{{Lu}}"
+#: Entities are joined under so many keys each.
+SALTS = 8
 
 
 def _kind(x: Column) -> Column:
@@ -78,8 +100,9 @@ def _kind(x: Column) -> Column:
         .when(x.contains("@"), "email")
         .when(x.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
         .when(x.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ipv4")
+        .when(x.contains(":"), "ipv6")
         .when(x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(x.rlike(r"^(?:\+|\(|[0-9]{3}[ .\-])"), "phone")
+        .when(x.rlike(r"^(?:\+|\(|[0-9]{3}[ .\-]|0[0-9]{1,4}[ ./\-](?![0-9]{4}[ \-][0-9]{4}|[0-9]{6}[ \-]))"), "phone")
         .otherwise("card")
     )
 
@@ -97,13 +120,9 @@ def _script(x: Column) -> Column:
     return F.when(x.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(x.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _part(kind, canonical) -> Column:
-    return F.struct(F.concat(kind, F.lit("|"), canonical).alias("entity"))["entity"]
-
-
-def _given_kind(prefix: Column) -> Column:
-    gender = F.when(prefix.rlike(rf"(?:^| )(?:{TITLES['m']})\.? "), "m").when(prefix.rlike(rf"(?:^| )(?:{TITLES['f']})\.? "), "f").otherwise("n")
-    return F.concat(F.lit("given-"), gender)
+def _gender(prefix: Column) -> Column:
+    """Of the titles: m, f or null."""
+    return F.when(prefix.rlike(rf"(?:^| )(?:{TITLES['m']})\.? "), "m").when(prefix.rlike(rf"(?:^| )(?:{TITLES['f']})\.? "), "f")
 
 
 def _read(x: Column) -> Column:
@@ -111,23 +130,32 @@ def _read(x: Column) -> Column:
     return F.struct(_prefix(x).alias("prefix"), _core(x).alias("core"), _kind(x).alias("kind"))
 
 
-def _separated(p: Column) -> Column:
-    """Only these kinds ignore signs."""
-    return p["kind"].isin("card", "phone", "ssn", "iban")
+def _separated(kind: Column) -> Column:
+    """Only these kinds ignore signs; their formats are short."""
+    return kind.isin("card", "phone", "ssn", "iban")
+
+
+def _entity(kind, canonical: Column, gender: Column) -> Column:
+    return F.struct(F.concat(kind, F.lit("|"), canonical).alias("entity"), gender.alias("gender"))
 
 
 def _entities(p: Column) -> Column:
-    """The entities of a finding, each as its kind, a bar and its canonical form."""
-    core, kind = p["core"], p["kind"]
+    """The entities of a finding, each as its kind, a bar and its canonical form, and the gender of a first name's titles."""
+    core, kind, none = p["core"], p["kind"], F.lit(None).cast("string")
     names = F.split(core, " ")
-    canonical = F.when(kind == "email", F.lower(core)).when(_separated(p), F.regexp_replace(core, "[^0-9A-Za-z]", "")).otherwise(core)
+    canonical = (
+        F.when(kind.isin("email", "ipv6"), F.lower(core)).when(_separated(kind), F.regexp_replace(core, "[^0-9A-Za-z]", "")).otherwise(core)
+    )
     return F.when(
         kind == "name",
         F.concat(
-            F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda given: _part(_given_kind(p["prefix"]), given)),
-            F.array(_part(F.lit("surname"), F.element_at(names, -1))),
+            F.transform(
+                F.slice(names, F.lit(1), F.size(names) - 1),
+                lambda given: _entity(F.lit("given"), F.initcap(given), _gender(p["prefix"])),
+            ),
+            F.array(_entity(F.lit("surname"), F.initcap(F.element_at(names, -1)), none)),
         ),
-    ).otherwise(F.array(_part(kind, canonical)))
+    ).otherwise(F.array(_entity(kind, canonical, none)))
 
 
 # -- surrogates ---------------------------------------------------------------
@@ -153,25 +181,45 @@ def _chars(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda c: c != "")
 
 
-def _like(canonical: Column, stream: Column, domain_stream: Column, keep: Column, keep_end: Column, hexadecimal: Column) -> Column:
-    """Each letter and digit by one of its sort; the first ``keep`` and last ``keep_end`` characters stay."""
-    at = F.instr(canonical, "@")
+# The letters that stand in for others, by script.
+LETTERS = {
+    r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя",
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+}
+
+
+def _like(canonical: Column, stream: Column, domain_stream: Column, keep: Column, keep_to: Column) -> Column:
+    """Each letter and digit by one of its sort; the characters before ``keep`` and from ``keep_to`` on stay.
+
+    All but the characters are columns of the entity, so that nothing is worked out anew for every character.
+    """
+    at, hexadecimal = F.col("at"), F.col("hexadecimal")
 
     def one(c: Column, i: Column) -> Column:
         b = F.when((at > 0) & (i >= at), _byte(domain_stream, i - at)).otherwise(_byte(stream, i))
         letter = lambda letters: F.substring(F.lit(letters), (F.pmod(b, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-        return (
-            F.when((i < keep) | (i >= F.length(canonical) - keep_end), c)
+        out = (
+            F.when((i < keep) | (i >= keep_to), c)
             .when(hexadecimal & c.rlike("[0-9a-f]"), letter("0123456789abcdef"))
             .when(c.rlike("[0-9]"), letter("0123456789"))
-            .when(c.rlike("[a-z]"), letter("abcdefghijklmnopqrstuvwxyz"))
             .when(c.rlike("[A-Z]"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .otherwise(c)
         )
+        for script, letters in LETTERS.items():
+            out = out.when(c.rlike(rf"\p{{Lu}}") & c.rlike(script), F.upper(letter(letters))).when(c.rlike(script), letter(letters))
+        return out.when(c.rlike(r"\p{N}"), letter("0123456789")).otherwise(c)
 
     return F.array_join(F.transform(_chars(canonical), one), "")
 
 
+def _longer(made: Column, stream: Column, n: int) -> Column:
+    """More letters in front, where those of the entity's own length don't suffice."""
+    if n <= 0:
+        return made
+    alphabet = " ".join("abcdefghijklmnopqrstuvwxyz")
+    return F.concat(*[_pick(alphabet, _byte(stream, F.lit(95 - i))) for i in range(n)], made)
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit for digits that lack it."""
     turned = _chars(F.reverse(digits))
@@ -202,102 +250,121 @@ def _checked_iban(made: Column) -> Column:
 
 
 def _name(kind: Column, name: Column, stream: Column, attempt: int) -> Column:
-    """A first name of the gender and script (two or three of them at later attempts), or a surname out of syllables."""
+    """A first name of the gender and script (with a second one out of syllables at later attempts), or a surname out of syllables."""
     out = None
     for script, syllables in SYLLABLES.items():
-        n = 3 + attempt // 4
-        surname = F.initcap(F.concat(*[_pick(syllables, _byte(stream, F.lit(i))) for i in range(n)]))
-        chosen = F.when(kind == "surname", surname)
+        spoken = lambda n: F.initcap(F.concat(*[_pick(syllables, _byte(stream, F.lit(i))) for i in range(1, n + 1)]))  # noqa: B023, E731
+        chosen = F.when(kind == "surname", spoken(3 + attempt))
         for gender in TITLES:
-            parts = [_pick(GIVEN[gender, script], _byte(stream, F.lit(i))) for i in range(1 + (attempt > 0) + attempt // 8)]
-            chosen = chosen.when(kind == f"given-{gender}", F.concat_ws("-", *parts))
+            first = _pick(GIVEN[gender, script], _byte(stream, F.lit(0)))
+            chosen = chosen.when(kind == f"given-{gender}", F.concat_ws("-", first, spoken(1 + attempt)) if attempt else first)
         case = _script(name) == script
         out = F.when(case, chosen) if out is None else out.when(case, chosen)
     return out
 
 
+def _described(entities: DataFrame) -> DataFrame:
+    """Distinct entities with all that their surrogates are made of, a column each; written, so that it is worked out once."""
+    canonical = F.substring("entity", F.instr("entity", "|") + 1, F.length("entity"))
+    parts = entities.select(
+        "entity", "gender", F.substring_index("entity", "|", 1).alias("kind"), canonical.alias("canonical")
+    )
+    kind, own, n = F.col("kind"), F.col("canonical"), F.length("canonical")
+    key = F.length(F.regexp_extract(own, r"^(?:AKIA|(?:ghp|gho|sk|pk)[_\-])", 0))
+    keep = (
+        F.when(kind == "card", 1).when(kind == "iban", 2).when(kind == "secret", key)
+        .when((kind == "phone") & own.startswith("0"), 1).when((kind == "phone") & (n > 10), n - 10).otherwise(0)
+    )
+    hexadecimal = (kind == "ipv6") | (kind == "secret") & own.rlike("^[0-9a-f]+$")
+    return stored(
+        parts.withColumns(
+            {
+                "at": F.when(kind == "email", F.instr("canonical", "@")).otherwise(0),
+                "keep": keep,
+                "keep_to": F.when(kind == "email", n - F.length(F.substring_index("canonical", ".", -1))).otherwise(n),
+                "hexadecimal": hexadecimal,
+                # Addresses of one domain share the surrogate of the domain, at every attempt.
+                "form": F.sha2(F.col("entity").cast("binary"), 256),
+                "domain_form": F.sha2(F.substring_index("canonical", "@", -1).cast("binary"), 256),
+            }
+        ),
+        "pii-entities",
+    )
+
+
 def _tried(pending: DataFrame, key: str, attempt: int) -> DataFrame:
-    """``entity, surrogate``: the surrogates of an attempt, from columns made once for each entity."""
+    """``entity, surrogate``: the surrogates of an attempt. A few bytes make much work here, so rows are dealt to all tasks."""
     kind, canonical = F.col("kind"), F.col("canonical")
-    parts = pending.select(
-        "entity",
-        F.substring_index("entity", "|", 1).alias("kind"),
-        F.substring("entity", F.instr("entity", "|") + 1, F.length("entity")).alias("canonical"),
-    )
-    # Addresses of one domain share the surrogate of the domain, at every attempt.
-    domain = F.substring_index(canonical, "@", -1)
-    streams = parts.withColumns(
-        {"stream": _stream(key, kind, canonical, F.lit(str(attempt))), "domain_stream": _stream(key, F.lit("domain"), domain)}
+    tasks = int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    streams = pending.repartition(tasks, "entity").withColumns(
+        {"stream": _stream(key, F.col("form"), F.lit(str(attempt))), "domain_stream": _stream(key, F.lit("domain"), F.col("domain_form"))}
     )
-    return streams.select("entity", surrogate(kind, canonical, F.col("stream"), F.col("domain_stream"), attempt).alias("surrogate"))
+    made = surrogate(kind, canonical, F.col("gender"), F.col("stream"), F.col("domain_stream"), attempt)
+    return streams.withColumn("surrogate", made).drop("stream", "domain_stream")
 
 
-def surrogate(kind: Column, canonical: Column, stream: Column, domain_stream: Column, attempt: int) -> Column:
-    """The surrogate of a canonical form at an attempt, from its keyed bytes and those of its domain."""
-    zero = F.lit(0)
-    like = lambda keep=zero, end=zero, hexa=F.lit(False): _like(canonical, stream, domain_stream, keep, end, hexa)
+def surrogate(kind: Column, canonical: Column, gender: Column, stream: Column, domain_stream: Column, attempt: int) -> Column:
+    """The surrogate of a described entity at an attempt, from its keyed bytes and those of its domain."""
+    like = _like(canonical, stream, domain_stream, F.col("keep"), F.col("keep_to"))
     octets = [F.when(F.lit(i == 0), 1 + _byte(stream, F.lit(i)) % 223).otherwise(_byte(stream, F.lit(i))) for i in range(4)]
+    person = F.when(kind == "given", F.concat(F.lit("given-"), gender)).otherwise(kind)
     return (
-        F.when(kind == "email", like(end=F.length(F.substring_index(canonical, ".", -1))))
+        F.when(kind.isin("given", "surname"), _name(person, canonical, stream, attempt))
         .when(kind == "ipv4", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(kind == "card", _checked_card(canonical, like(F.lit(1))))
-        .when(kind == "iban", _checked_iban(like(F.lit(2))))
-        .when(kind == "phone", like(F.when(F.length(canonical) > 10, F.length(canonical) - 10).otherwise(zero)))
-        .when(kind == "ssn", like())
-        .when(
-            kind == "secret",
-            like(F.length(F.regexp_extract(canonical, "^(?:AKIA|(?:ghp|gho|sk|pk)_)", 0)), zero, canonical.rlike("^[0-9a-f]+$")),
-        )
-        .otherwise(_name(kind, canonical, stream, attempt))
+        .when(kind == "card", _checked_card(canonical, like))
+        .when(kind == "iban", _checked_iban(like))
+        .when(kind.isin("email", "secret"), _longer(like, stream, attempt - 1))
+        .otherwise(like)
     )
 
 
-def assign(entities: DataFrame, key: str, attempts: int = 64) -> DataFrame:
-    """``entity, surrogate`` for distinct ``entity``, no two of a kind alike and none an entity itself."""
-    pending, settled = entities.select("entity"), None
-    taken = entities.select(F.col("entity").alias("made"))
+def assign(entities: DataFrame, key: str, attempts: int = 400) -> DataFrame:
+    """``entity, surrogate`` for distinct ``entity``, no two of a kind alike and none an entity itself.
+
+    ``entities`` also has ``gender``: m, f or n of a first name.
+    """
+    described = _described(entities)
+    pending, settled = described, None
+    taken = described.select(F.col("entity").alias("made"))
+    names = described.columns
     for attempt in range(attempts):
         tried = _tried(pending, key, attempt).withColumn("new", F.lit(True))
         both = tried if settled is None else tried.unionByName(settled.withColumn("new", F.lit(False)))
-        # First names of all genders share one space, as they look alike.
-        space = F.regexp_replace(F.substring_index("entity", "|", 1), "^given-.$", "given")
-        made = F.concat(F.substring_index("entity", "|", 1), F.lit("|"), F.col("surrogate"))
-        both = both.withColumns({"space": space, "made": made})
-        first = both.groupBy("space", "surrogate").agg(F.min(F.struct("new", "entity")).alias("first"))
+        made = F.concat("kind", F.lit("|"), F.col("surrogate"))
+        both = both.withColumn("made", made)
+        first = both.groupBy("kind", "surrogate").agg(F.min(F.struct("new", "entity")).alias("first"))
         checked = (
-            both.join(first, ["space", "surrogate"])
+            both.join(first, ["kind", "surrogate"])
             .join(taken.withColumn("own", F.lit(True)), "made", "left")
-            .select("entity", "surrogate", ((F.col("first.entity") == F.col("entity")) & F.col("own").isNull()).alias("good"))
+            .select(*names, "surrogate", ((F.col("first.entity") == F.col("entity")) & F.col("own").isNull()).alias("good"))
         )
         checked = stored(checked, "surrogates")
         settled = checked.filter("good").drop("good")
-        pending = checked.filter("not good").select("entity")
+        pending = checked.filter("not good").drop("good", "surrogate")
         if pending.isEmpty():
-            return settled
+            return settled.select("entity", "surrogate")
     raise RuntimeError(f"surrogates still collide after {attempts} attempts")
 
 
-def _made(p: Column, known: Column) -> Column:
-    """The parts of a finding with the surrogates of its entities."""
-    made = F.transform(_entities(p), lambda e: F.coalesce(known[e], F.substring_index(e, "|", -1)))
-    return F.struct(p["prefix"].alias("prefix"), p["core"].alias("core"), p["kind"].alias("kind"), made.alias("made"))
+def _rendered(core: Column, kind: Column, made: Column) -> Column:
+    """A finding's entity as its surrogate, in its own spelling."""
+    first = made[0]
 
+    def spelt(c: Column, new: Column) -> Column:
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(new)).when(c.rlike(r"[\p{L}\p{N}]"), new).otherwise(c)
 
-def _rendered(p: Column) -> Column:
-    """A finding with its surrogate, in its own spelling."""
-    core, kind, made = p["core"], p["kind"], p["made"]
-    first = made[0]
-    signs = F.when(_separated(p), "[^0-9A-Za-z]").otherwise("[^\\s\\S]")
+    def separated(c: Column, i: Column) -> Column:
+        at = F.length(F.regexp_replace(F.substring(core, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+        return spelt(c, F.substring(first, at, F.lit(1)))
 
-    def one(c: Column, i: Column) -> Column:
-        at = F.length(F.regexp_replace(F.substring(core, F.lit(1), i + 1), signs, ""))
-        new = F.substring(first, at, F.lit(1))
-        return F.when(c.rlike("[A-Z]"), F.upper(new)).when(c.rlike("[0-9a-z]"), new).otherwise(c)
-
-    spelt = F.array_join(F.transform(_chars(core), one), "")
-    return F.concat(
-        p["prefix"],
-        F.when(kind == "name", F.array_join(made, " ")).when(kind == "ipv4", first).otherwise(spelt),
+    def word(own: Column, new: Column) -> Column:
+        return F.when(own.rlike(r"^[^\p{Ll}]{2,}$"), F.upper(new)).otherwise(new)
+
+    return (
+        F.when(kind == "name", F.array_join(F.zip_with(F.split(core, " "), made, word), " "))
+        .when(_separated(kind), F.array_join(F.transform(_chars(core), separated), ""))
+        .when((kind == "ipv4") | (F.length(first) != F.length(core)), first)
+        .otherwise(F.array_join(F.zip_with(_chars(core), _chars(first), spelt), ""))
     )
 
 
@@ -316,18 +383,34 @@ def pseudonymise(docs: DataFrame, key: str = "set your own key") -> DataFrame:
             "findings": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)),
         }
     )
-    pairs = stored(
-        found.select("digest", F.explode(F.array_distinct(F.flatten(F.transform(F.transform("findings", _read), _entities)))).alias("entity")).distinct(),
-        "pii-pairs",
+    # A row per entity of every finding, once for texts that are equal.
+    texts = found.groupBy("digest").agg(F.first("findings").alias("findings"))
+    each = texts.select("digest", F.posexplode(F.transform("findings", _read)).alias("at", "p"))
+    parts = stored(
+        each.select("digest", "at", "p", F.posexplode(_entities(F.col("p"))).alias("part", "e")).select(
+            "digest", "at", "part", "e.entity", "e.gender",
+            # A finding may be as long as a text, so only its first part carries it.
+            *[F.when(F.col("part") == 0, F.col(f"p.{c}")).alias(c) for c in ("prefix", "core", "kind")],
+        ),
+        "pii-parts",
     )
-    chosen = assign(stored(pairs.select("entity").distinct(), "pii-entities"), key)
-    known = pairs.join(chosen, "entity").groupBy("digest").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("known")
+    genders = [F.coalesce(F.max(F.col("gender") == g), F.lit(False)) for g in "mf"]
+    only = F.when(genders[0] & ~genders[1], "m").when(genders[1] & ~genders[0], "f").otherwise("n")
+    chosen = assign(parts.groupBy("entity").agg(only.alias("gender")), key)
+    offered = chosen.withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
+    spread = parts.withColumn("salt", F.pmod(F.xxhash64("digest", "at"), F.lit(SALTS)).cast("int"))
+    made = (
+        spread.join(offered, ["entity", "salt"])
+        .groupBy("digest", "at")
+        .agg(
+            *[F.max(c).alias(c) for c in ("prefix", "core", "kind")],
+            F.array_sort(F.collect_list(F.struct("part", "surrogate")))["surrogate"].alias("made"),
+        )
+        .select("digest", "at", F.concat("prefix", _rendered(F.col("core"), F.col("kind"), F.col("made"))).alias("new"))
     )
-    made = F.transform(F.transform("findings", _read), lambda p: _made(p, F.col("known")))
-    replaced = F.transform(made, _rendered)
+    known = made.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("at", "new")))["new"].alias("replaced"))
     kept = F.split("text", PATTERN, -1)
-    joined = found.join(known, "digest").withColumn("replaced", replaced)
+    joined = found.join(known, "digest")
     new = F.array_join(F.transform(kept, lambda s, i: F.concat(s, F.coalesce(F.get("replaced", i), F.lit("")))), "")
     changed = joined.select("row", new.alias("text"), F.size("findings").alias("n_entities"))
     rest = rows.filter(~has).select("row", "text", F.lit(0).alias("n_entities"))

@@ -12,17 +12,19 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer, models
 
 from chainage.llm import lm_interpolation as lm
+from chainage.llm import pii_surrogates as pii
 from chainage.llm import quality_gbdt as gbdt
 from chainage.llm import quality_llr as llr
 from chainage.llm import simhash_pivots as simhash
 from chainage.llm.components import components
 from chainage.llm.license_templates import PHRASES, TEMPLATES, Scanner, compile_template, scan_licenses
 from chainage.llm.packing import Encoder, cut, pack_documents, pack_lengths
-from chainage.llm.pii_surrogates import assign, pseudonymise
+from chainage.llm.pii_surrogates import GIVEN, PATTERN, assign, pseudonymise
 from chainage.llm.token_viterbi import Counter as TokenCounter
 from chainage.llm.token_viterbi import count_tokens, pieces_of
 from chainage.llm.warc_chunks import archived, chunked, payload_rows, read_archives, write_archives
@@ -260,10 +262,14 @@ def test_surrogates_keep_type_format_and_coreference(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    entities = [(f"given-m|Name{i}",) for i in range(150)] + [(f"given-f|Name{i}",) for i in range(90)] + [("given-m|Adam",), ("ipv4|1.2.3.4",)]
-    got = assign(spark.createDataFrame(entities, "entity string"), "k").collect()
-    assert len(got) == len(entities) == len({r.surrogate for r in got})
-    assert not {r.surrogate for r in got} & {e.split("|")[1] for (e,) in entities}
+    """Also where names of a script, or an address's own length, are far too few."""
+    entities = [(f"given|Name{chr(97 + i % 26)}{i}", "mf"[i % 2]) for i in range(240)] + [("given|Adam", "m"), ("ipv4|1.2.3.4", "n")]
+    entities += [(f"given|Νίκ{i}", "n") for i in range(300)] + [(f"email|{chr(97 + i)}@x.com", "n") for i in range(26)]
+    got = assign(spark.createDataFrame(entities, "entity string, gender string"), "k").collect()
+    assert len(got) == len(entities) == len({(r.entity.split("|")[0], r.surrogate) for r in got})
+    assert not {r.surrogate for r in got} & {e.split("|")[1] for e, _ in entities}
+    mails = [r.surrogate for r in got if r.entity.startswith("email")]
+    assert len({m.split("@")[1] for m in mails}) == 1 and all(m.endswith(".com") for m in mails)
 
 
 def test_pii_leaves_other_rows_alone(docs, empty):
@@ -294,6 +300,119 @@ def test_names_of_many_words_and_titles_are_replaced_whole(spark):
     assert re.fullmatch(r"Herr Dr\. \w+ von 5", got[3][0])
 
 
+LEAKS = {
+    "sk_" + "aB3" * 40: None, "sk-" + "aB3d" * 8: None, "0123456789abcdef" * 9: None, "password=" + "Geheim7!" * 30: "password=", "password=hunterhunter": "password=",
+    "api_key: ab12cd34ef56": "api_key: ", "my_secret = 'longenough'": "my_secret = '", "x" * 90 + "@example.org": ".org",
+    "a@" + "sub." * 15 + "example.org": ".org", "jörg@müller.de": "@", "иван@почта.рф": ".рф", "fe80::1ff:fe23:4567:890a": "::", "2001:0db8:0:0:8a2e:0370:7334:1": ":",
+    "0171 2345678": "0", "01 23 45 67 89": "0", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4": "eyJ"[:0], "AKIA" + "Q" * 40: "AKIA",
+    "MR. JOHN SMITH": "MR. ", "Sir John Smith": "Sir ", "Dr. Éva O’Brien": "Dr. ", "Frau Müller-Lüdenscheidt": "Frau ",
+}
+
+
+def test_nothing_is_left_in_clear(spark):
+    """Whatever the length, and in texts with nothing else."""
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(LEAKS)], "doc_id int, text string")
+    for r in pseudonymise(df, "k").collect():
+        (x, kept) = list(LEAKS.items())[r.doc_id]
+        new = re.fullmatch(r"see (.*) here", r.text)
+        assert new and r.n_entities == 1, (x, r.text)
+        assert (kept or "") in new[1] and len(new[1]) == len(x) or x[:2] in ("MR", "Si", "Dr", "Fr"), (x, r.text)
+        for a in range(len(x) - 7):
+            piece = x[a : a + 8]
+            assert piece not in new[1] or (kept and piece in kept) or set(piece) <= set(":0. "), (x, r.text)
+
+
+def test_one_person_has_one_name(spark):
+    texts = [
+        "Dr. Anna Lee met Mrs. Anna Lee", "MRS. ANNA LEE's house, Anna's", "Mr. Kim Roe and Ms. Kim Poe", "Prof. Kim Doe", "Mr. Otto Lee", "Mr. LEE, O'Neil",
+    ]
+    got = [r.text for r in sorted(pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").collect())]
+    given, surname = re.fullmatch(r"Dr\. ([\w-]+) (\w+) met Mrs\. \1 \2", got[0]).groups()
+    # Of the titles only Mrs. tells the gender.
+    assert given.split("-")[0] in GIVEN["f", "latin"].split() and "Lee" not in got[0]
+    assert got[1] == f"MRS. {given.upper()} {surname.upper()}'s house, Anna's"
+    kim = re.match(r"Mr\. ([\w-]+) \w+ and Ms\. \1 \w+$", got[2])[1]
+    assert kim.split("-")[0] in GIVEN["n", "latin"].split() and got[3].startswith(f"Prof. {kim} ")
+    assert re.fullmatch(rf"Mr\. [\w-]+ {surname}", got[4]) and got[5] == f"Mr. {surname.upper()}, O'Neil"
+
+
+_TITLE_WORDS = "|".join(pii.TITLES.values())
+_BEFORE = regex.compile(rf"^(?:{pii._ASSIGNED}|(?:(?:{_TITLE_WORDS})\.? )+)")
+
+
+def plain_entities(found: str) -> list[str]:
+    """The entities of a finding, straight from the docstring."""
+    before = _BEFORE.match(found)
+    core = found[before.end() :] if before else found
+    if regex.match(rf"(?:{_TITLE_WORDS})\.? \p{{Lu}}", found):
+        return [f"{'surname' if last else 'given'}|{w[0].upper()}{w[1:].lower()}" for w, last in zip(core.split(" "), [*[0] * core.count(" "), 1])]
+    if before or regex.fullmatch(pii._SECRET, found) or (regex.fullmatch("[0-9a-f]{32,}", found) and regex.search("[a-f]", found)):
+        return [f"secret|{core}"]
+    if "@" in core:
+        return [f"email|{core.lower()}"]
+    if regex.match("[A-Z]{2}[0-9]{2}", core):
+        return [f"iban|{core.replace(' ', '')}"]
+    if regex.fullmatch(r"\d+(\.\d+){3}", core):
+        return [f"ipv4|{core}"]
+    if ":" in core:
+        return [f"ipv6|{core.lower()}"]
+    digits = regex.sub("[^0-9A-Za-z]", "", core)
+    if regex.fullmatch(r"\d{3}-\d\d-\d{4}", core):
+        return [f"ssn|{digits}"]
+    is_card = regex.fullmatch(r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}", core)
+    return [f"{'card' if is_card else 'phone'}|{digits}"]
+
+
+def plain_render(found: str, new: list[str]) -> str:
+    before = _BEFORE.match(found)
+    prefix, core = (before[0], found[before.end() :]) if before else ("", found)
+    kind = plain_entities(found)[0].split("|")[0]
+    if kind in ("given", "surname"):
+        return prefix + " ".join(n.upper() if len(w) > 1 and not regex.search(r"\p{Ll}", w) else n for w, n in zip(core.split(" "), new, strict=True))
+    signs, left, out = kind in ("card", "phone", "ssn", "iban"), list(new[0]), ""
+    if kind == "ipv4" or (not signs and len(core) != len(new[0])):
+        return prefix + new[0]
+    for c in core:
+        made = left.pop(0) if not signs or regex.match("[0-9A-Za-z]", c) else ""
+        out += made.upper() if regex.match(r"\p{Lu}", c) else made if regex.match(r"[\p{L}\p{N}]", c) else c
+    return prefix + out
+
+
+def test_replaced_text_equals_a_plain_replacer(spark):
+    """A plain matcher and renderer, with the surrogates of the entities that it finds itself."""
+    rnd = random.Random(11)
+    pieces = [*LEAKS, *" ".join(PRIVATE).split(" "), *PRIVATE, "10.0.0.1", "::1", "12:30:45", "std::vector", "a@b", "@", "Mr.", "Dr. 5", "x=y", "MS Word", "0001", "中文"]
+    texts = [None, "", " ", *[" ".join(rnd.choices(pieces, k=rnd.choice([1, 4, 12]))) for _ in range(120)], " ".join(rnd.choices(pieces, k=2000))]
+    texts += [texts[5], texts[5]]
+    df = spark.createDataFrame([(i, t, len(t or ""), 1, "x") for i, t in enumerate(texts)], "doc_id int, text string, n_chars int, n_entities int, digest string")
+    got = {r[0]: r for r in pseudonymise(df.repartition(3), "k").collect()}
+    find = regex.compile(PATTERN)
+    genders = defaultdict(set)
+    for text in texts:
+        for m in find.finditer(text or ""):
+            titles = set(regex.findall(r"[\p{L}-]+", (_BEFORE.match(m[0]) or [""])[0]))
+            gender = next((g for g in "mf" if titles & set(pii.TITLES[g].split("|"))), None)
+            for e in plain_entities(m[0]):
+                genders[e].add(gender if e.startswith("given") else None)
+    rows = [(e, "n" if {"m", "f"} <= g else next((x for x in "mf" if x in g), "n")) for e, g in genders.items()]
+    made = {r.entity: r.surrogate for r in assign(spark.createDataFrame(rows, "entity string, gender string"), "k").collect()}
+    for i, text in enumerate(texts):
+        want = text and find.sub(lambda m: plain_render(m[0], [made[e] for e in plain_entities(m[0])]), text)
+        n = len(find.findall(text or ""))
+        assert tuple(got[i]) == (i, want, len(want or ""), 1, "x", n)
+
+
+def test_long_texts_of_findings(spark):
+    """Megabytes of addresses, names and one secret: the work grows with the length."""
+    texts = [" ".join(f"user{i}@example.com" for i in range(20_000)), "Mr. " + "Anna " * 20_000, "token=" + "aB3" * 20_000, "Dr. " * 50_000, "a@" + "b." * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    begin = time.perf_counter()
+    got = sorted(pseudonymise(df, "k").collect())
+    assert time.perf_counter() - begin < 120
+    assert got[0].n_entities == len(set(got[0].text.split())) == 20_000
+    assert "Anna" not in got[1].text and "aB3aB3" not in got[2].text
+
+
 # -- op5 ------------------------------------------------------------------------
 
 
