@@ -27,6 +27,8 @@ findings are unchanged, repeated rows get equal results; the work grows with the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,15 +86,24 @@ PATTERN = "|".join(
         r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
         r"(?<![0-9\-])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
         # Any number of titles and words; a title before a further name begins the next finding.
-        rf"(?<!(?:{_TITLE})\.? )\b{_TITLED}{_NAME}(?: (?!(?:{_TITLE})\.? \p{{Lu}}){_NAME})*+",
+        rf"\b(?=(?:{_TITLE})\.? )(?<!(?:{_TITLE})\.? ){_TITLED}{_NAME}(?: (?!(?:{_TITLE})\.? \p{{Lu}}){_NAME})*+",
     ]
 )
-#: A cheap first look: every pattern needs one of these. Secrets may consist of letters only.
-_HINT = rf"[0-9@]|AKIA|(?:ghp|gho|sk|pk)[_\-]|eyJ|[a-f]{{32}}|{_ASSIGNED}|\b(?:{_TITLE})\.? \p{{Lu}}"
+# What a text must hold for any of the patterns to match, apart from digits, addresses and titles; lower-case.
+_MARKS = "akia ghp_ ghp- gho_ gho- sk_ sk- pk_ pk- eyj password passwd pwd secret token apikey api_key accesskey access_key".split()
 #: Entities are joined under so many keys each.
 SALTS = 8
 
 
+def _may_match(text: Column) -> Column:
+    """A cheap first look, mostly plain searches: texts that fail it have no finding. Secrets may consist of letters only."""
+    lowered = F.lower(text)
+    looks = [text.rlike("[0-9@]"), *[lowered.contains(mark) for mark in _MARKS], text.rlike("[a-f]{32}")]
+    titled = [text.contains(title) for title in _TITLE.split("|")]
+    any_of = lambda columns: reduce(Column.__or__, columns)
+    return any_of(looks) | (any_of(titled) & text.rlike(rf"(?:{_TITLE})\.? \p{{Lu}}"))
+
+
 def _kind(x: Column) -> Column:
     return (
         F.when(x.rlike(rf"^(?:{_TITLE})\.? \p{{Lu}}"), "name")
@@ -374,15 +385,15 @@ def pseudonymise(docs: DataFrame, key: str = "set your own key") -> DataFrame:
     Use a secret ``key``; the same key gives the same surrogates as long as the corpus has no new collisions.
     """
     names = docs.columns
-    text = F.col("`text`").cast("string")
-    rows = wrapped(docs, text.alias("text"))
-    has = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    found = rows.filter(has).withColumns(
-        {
-            "digest": F.unhex(F.sha2(F.col("text").cast("binary"), 256)),
-            "findings": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)),
-        }
+    text = F.col(f"row.c{names.index('text')}").cast("string")
+    # Texts are matched once; what was found is kept beside them.
+    findings = F.when(_may_match(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    matched = wrapped(docs).withColumn("findings", findings)
+    matched = matched.withColumn("has", F.coalesce(F.size("findings") > 0, F.lit(False)))
+    staged = stored(
+        matched.withColumn("digest", F.when(F.col("has"), F.unhex(F.sha2(text.cast("binary"), 256)))), "pii-texts"
     )
+    found = staged.filter("has").withColumn("text", text)
     # A row per entity of every finding, once for texts that are equal.
     texts = found.groupBy("digest").agg(F.first("findings").alias("findings"))
     each = texts.select("digest", F.posexplode(F.transform("findings", _read)).alias("at", "p"))
@@ -413,7 +424,7 @@ def pseudonymise(docs: DataFrame, key: str = "set your own key") -> DataFrame:
     joined = found.join(known, "digest")
     new = F.array_join(F.transform(kept, lambda s, i: F.concat(s, F.coalesce(F.get("replaced", i), F.lit("")))), "")
     changed = joined.select("row", new.alias("text"), F.size("findings").alias("n_entities"))
-    rest = rows.filter(~has).select("row", "text", F.lit(0).alias("n_entities"))
+    rest = staged.filter("not has").select("row", text.alias("text"), F.lit(0).alias("n_entities"))
     out = changed.union(rest)
     instead = {"text": F.col("text")}
     if "n_chars" in names:
