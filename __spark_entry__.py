@@ -108,9 +108,8 @@ def shortest_line(spark, sf):
 
 
 def box_candidates(spark, sf):
-    index = _index(spark, sf)
-    lines = loc.shortest_line(fx.events(spark, sf), index)
-    found = loc.box_candidates(lines, index)
+    """The segments at the closest place of every event."""
+    found = loc.line_candidates(fx.events(spark, sf), _index(spark, sf))
     return found.select("event_id", "ROUTEID", "VERTEX_SEQ", F.round("M_AT", 6).alias("M_AT"))
 
 

@@ -6,6 +6,7 @@ from chainage.operators.index import RouteIndex, build_index
 from chainage.operators.locate import (
     box_candidates,
     calculate_m_value,
+    line_candidates,
     locate,
     shortest_line,
 )
@@ -23,6 +24,7 @@ __all__ = [
     "box_candidates",
     "build_index",
     "calculate_m_value",
+    "line_candidates",
     "linestrings",
     "locate",
     "only_routes",

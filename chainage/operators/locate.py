@@ -141,14 +141,8 @@ def box_candidates(
     so only segments near the place are compared.
     """
     keyed = _keyed(places, places.columns, cols.route_id, x, y)
-    leaves = descend(_distinct_places(keyed), index, inside=True).where("node is not null")
-    pairs = leaves.join(index.segments, ["route", "node"])
-    inside = pairs.where(
-        "x between least(x0, x1) and greatest(x0, x1) and y between least(y0, y1) and greatest(y0, y1)"
-    )
-    m_at = interpolate_measure("m0", "m1", "x0", "y0", "x1", "y1", "x", "y")
-    found = inside.selectExpr(
-        "xxhash64(route, x, y) as _place", "route as _route", "x as _x", "y as _y", "seq", f"{m_at} as m_at"
+    found = _containing(_distinct_places(keyed), index, []).selectExpr(
+        "xxhash64(route, x, y) as _place", "route as _route", "x as _x", "y as _y", "seq", "m_at"
     )
     joined = keyed.join(found, ["_place", "_route", "_x", "_y"])
     return joined.select(
@@ -156,6 +150,44 @@ def box_candidates(
     )
 
 
+def line_candidates(
+    events: DataFrame, index: RouteIndex, cols: ColumnMap = ColumnMap()
+) -> DataFrame:
+    """:func:`shortest_line` and :func:`box_candidates` of its closest places in one.
+
+    The search goes on from the distinct closest places, so the events
+    themselves are joined once, at the end.
+    """
+    cols.require(events)
+    kept = [c for c in events.columns if c not in (cols.m_value, cols.distance)]
+    keyed = _keyed(events, kept, cols.route_id, cols.lon, cols.lat)
+    nearest = nearest_on_route(_distinct_places(keyed), index).selectExpr(
+        "route", "cx as x", "cy as y", "x as _x", "y as _y", "dist"
+    )
+    found = _containing(nearest, index, ["_x", "_y", "dist"]).selectExpr(
+        "xxhash64(route, _x, _y) as _place", "route as _route", "_x", "_y", "x", "y", "dist", "seq", "m_at"
+    )
+    joined = keyed.join(found, ["_place", "_route", "_x", "_y"])
+    return joined.select(
+        *_own(kept),
+        F.col("x").alias("CLOSEST_LON"),
+        F.col("y").alias("CLOSEST_LAT"),
+        F.col("dist").alias(cols.distance),
+        F.col("seq").alias(cols.vertex_seq),
+        F.col("m_at").alias("M_AT"),
+    )
+
+
+def _containing(places: DataFrame, index: RouteIndex, carried: list[str]) -> DataFrame:
+    """(route, x, y, ...) with ``seq`` and ``m_at`` of every segment of the route whose closed box holds the place."""
+    leaves = descend(places, index, inside=True).where("node is not null")
+    inside = leaves.join(index.segments, ["route", "node"]).where(
+        "x between least(x0, x1) and greatest(x0, x1) and y between least(y0, y1) and greatest(y0, y1)"
+    )
+    m_at = interpolate_measure("m0", "m1", "x0", "y0", "x1", "y1", "x", "y")
+    return inside.selectExpr("route", "x", "y", *carried, "seq", f"{m_at} as m_at")
+
+
 def calculate_m_value(
     events: DataFrame,
     routes: DataFrame | RouteIndex,

@@ -76,7 +76,9 @@ def segments(
         raise ContractError("by_path needs a PATH_SEQ column")
     lon, lat, m = cols.lon, cols.lat, cols.m_value
     others = [c for c in points.columns if c not in (lon, lat, m, cols.vertex_seq)]
-    in_block = Window.partitionBy(cols.route_id, BLOCK).orderBy(cols.vertex_seq, EDGE)
+    # The coordinates and the measure order what the numbers leave open. As sort keys they also stay in every plan's
+    # shuffle, whatever is taken from it, so that a plan with both boxes and segments shuffles the vertices once.
+    in_block = Window.partitionBy(cols.route_id, BLOCK).orderBy(cols.vertex_seq, EDGE, lon, lat, m)
     closed = close_blocks(points, cols, dense=dense)
     paired = closed.withColumns(
         {f"{c}1": F.lead(c).over(in_block) for c in (lon, lat, m)}

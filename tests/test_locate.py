@@ -147,6 +147,19 @@ def test_shortest_line_then_boxes(make_points, make_events):
     assert no_length.M_AT is None
 
 
+def test_line_candidates_equal_the_two_steps(make_points, make_events):
+    line = [(i % 5, i // 5, i / 10) for i in range(60)]
+    index = ix.build_index(rt.segments(make_points({"a": line, "b": [(0, 0, 0), (0, 0, 1)]})), depth=1)
+    events = [(i, "ab?"[i % 7 % 3], (i % 13) / 2, (i % 17) / 2) for i in range(40)]
+    events += [(90, "a", None, 1), (91, None, 1, 1), (92, "a", math.nan, 0), events[3], events[3], (93, "a", events[3][2], events[3][3])]
+    given = make_events(events)
+    steps = loc.box_candidates(loc.shortest_line(given, index), index)
+    once = loc.line_candidates(given, index)
+    assert sorted(once.columns) == sorted(steps.columns)
+    assert sorted(map(repr, once.select(*steps.columns).collect())) == sorted(map(repr, steps.collect()))
+    assert once.count() > len(events) and loc.line_candidates(given.limit(0), index).count() == 0
+
+
 def test_calculate_m_value_projects_and_keeps_the_input_coordinates(make_points, make_events, spark):
     points = make_points({"01001": ROUTE_1})
     grid = make_events([(1, "01001", *ROUTE_1[1][:2])])

@@ -53,3 +53,22 @@ def test_box_grouping_reuses_the_segment_partitioning(spark, tmp_path):
     index = ix.build_index(segments, depth=1)
     # vertices to blocks, then boxes to routes: two shuffles
     assert plan(index.levels[0]).count("Exchange hashpartitioning") == 2
+
+
+@pytest.fixture
+def large_tables(spark):
+    """Plans as for tables that are too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name, scans, exchanges", [("mvalue", 3, 10), ("shortest_line", 3, 10), ("box_candidates", 3, 12)])
+def test_vertices_are_shuffled_once(spark, large_tables, name, scans, exchanges):
+    df = entry.queries()[name](spark, SF)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    reused = text.count("ReusedExchange")
+    assert reused >= 1 and text.count("FileScan") <= scans
+    assert text.count("Exchange hashpartitioning") - reused <= exchanges
