@@ -339,7 +339,8 @@ def assign(entities: DataFrame, key: str, attempts: int = 400) -> DataFrame:
     taken = described.select(F.col("entity").alias("made"))
     names = described.columns
     for attempt in range(attempts):
-        tried = _tried(pending, key, attempt).withColumn("new", F.lit(True))
+        # Written, as it is read twice below: made once, and its large expressions are in one plan only.
+        tried = stored(_tried(pending, key, attempt).withColumn("new", F.lit(True)), "tried")
         both = tried if settled is None else tried.unionByName(settled.withColumn("new", F.lit(False)))
         made = F.concat("kind", F.lit("|"), F.col("surrogate"))
         both = both.withColumn("made", made)
