@@ -72,3 +72,13 @@ def test_vertices_are_shuffled_once(spark, large_tables, name, scans, exchanges)
     reused = text.count("ReusedExchange")
     assert reused >= 1 and text.count("FileScan") <= scans
     assert text.count("Exchange hashpartitioning") - reused <= exchanges
+
+
+def test_candidates_are_not_shuffled(spark, large_tables):
+    df = entry.queries()["mvalue_multi"](spark, SF)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    assert not re.search(r"hashpartitioning\([^)]*node#", text)
+    # places are sent to their route once, and what is found is sent on with the event's place
+    assert len(re.findall(r"Exchange hashpartitioning\(route#\d+, _salt#\d+, \d+\), REPARTITION_BY_NUM", text)) == 1
+    assert not re.search(r"hashpartitioning\(route#\d+, x#\d+, y#\d+, _salt", text)

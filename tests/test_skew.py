@@ -90,3 +90,16 @@ def test_long_routes_are_spread_in_the_anti_join(spark):
         per_task = kept.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in per_task) == table.where("ROUTEID = 'a'").count()
     assert len(per_task) >= 3
+
+
+def test_a_hot_route_is_salted_by_its_places(spark, points, monkeypatch):
+    places = spark.range(20_000).selectExpr("if(id % 5 = 0, '003', '007') as route", "id / 500d as x", "double(id % 13) as y")
+    index = ix.build_index(rt.segments(points, dense=True), depth=1)
+    want = {tuple(r) for r in loc.nearest_on_route(places, index).collect()}
+    monkeypatch.setattr(ix, "HOT_PLACES", 2_000)
+    with settings(spark, **SMALL):
+        found, by = ix.candidates(places, index)
+        salts = {r.route: r.n for r in found.groupBy("route").agg(F.countDistinct("_salt").alias("n")).collect()}
+        got = {tuple(r) for r in loc.nearest_on_route(places, index).collect()}
+    assert salts == {"003": 2, "007": 8} and by == ["route", "x", "y", "_salt"]
+    assert got == want and len(got) == 20_000
