@@ -19,15 +19,16 @@ PAYLOAD_SCHEMA = (
 )
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+def read_payloads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per landed file: payload text, its path, and the page's offset.
 
     The offset is read from the path, where it follows ``offset=`` or ``offset-``; it is null if the path names none.
+    With ``lines`` a file holds a payload per line instead, for pages so many that a file each would be costly.
     """
     file = F.col("_metadata.file_path")
     named = F.regexp_extract(file, r"offset[=-](\d+)", 1)
     # Folders of any depth; their names are not columns here.
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not lines)
     return files.select(
         F.col("value").alias("payload"), file.alias("file"), named.try_cast("bigint").alias("offset")
     )

@@ -171,3 +171,18 @@ def test_an_empty_list_of_ids(store, make_points):
     assert store.latest([]).points.count() == 0
     with pytest.raises(ContractError):
         store.as_of("2023-01-01", [])
+
+
+def test_many_pages_are_landed_in_few_files(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from chainage.sources import esri
+    from fixtures import tables as fx
+
+    monkeypatch.setattr(entry, "scratch_dir", lambda _, purpose: str(tmp_path / purpose))
+    # 1,500 vertices a table are a page or two, so routes are made short here to have many.
+    monkeypatch.setattr(fx, "PER_ROUTE", 10)
+    entry._two_versions(spark, "/root/testdata/sf0.001")
+    landed = str(tmp_path / "pages")
+    want = {r.payload for r in fx.esri_payloads(spark, "/root/testdata/sf0.001").collect()}
+    pages = esri.read_payloads(spark, landed, lines=True).collect()
+    assert len(pages) == len(want) >= 50 and len({p.file for p in pages}) <= 4
