@@ -147,6 +147,17 @@ def test_requests_open_the_routes_at_hand(spark, store, make_points, make_events
     assert few.collect() == many.collect() != []
 
 
+def test_many_ids_are_taken_from_the_events_once(spark, store, tmp_path, make_points, make_events, monkeypatch):
+    store.publish(make_points({f"r{i}": [(i, 0, 0), (i, 1, 1)] for i in range(60)}), date(2024, 1, 1))
+    path = str(tmp_path / "asked")
+    make_events([(1, "r5", 5, 1), (2, "r6", 5, 2), (3, "none", 1, 1), (4, None, 1, 1)]).write.parquet(path)
+    monkeypatch.setattr("chainage.plans.jobs.MAX_IN_LIST", 1)
+    index = index_for(store, spark.read.parquet(path))
+    for table in (index.segments, *index.levels):
+        assert not any("/asked/" in f for f in table.inputFiles())
+    assert {r.route for r in index.segments.collect()} == {"r5", "r6"}
+
+
 def test_one_route_is_in_one_file_of_a_table(spark, tmp_path, make_points):
     """One bucket in several files: each holds a run of routes, so statistics leave one to read."""
     store = RouteStore(spark, str(tmp_path / "wide"), buckets=1)

@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from chainage.operators import index as ix
 from chainage.operators import locate as loc
 from chainage.operators import routes as rt
+from chainage.plans.store import RouteStore
+from chainage.sources import geojson
 from fixtures import tables as fx
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +84,27 @@ def test_candidates_are_not_shuffled(spark, large_tables):
     # places are sent to their route once, and what is found is sent on with the event's place
     assert len(re.findall(r"Exchange hashpartitioning\(route#\d+, _salt#\d+, \d+\), REPARTITION_BY_NUM", text)) == 1
     assert not re.search(r"hashpartitioning\(route#\d+, x#\d+, y#\d+, _salt", text)
+
+
+def test_candidates_are_sorted_by_place_before_route(spark, large_tables):
+    index = ix.build_index(rt.segments(fx.points(spark, SF), dense=True, with_block=True), depth=1)
+    text = plan(loc.locate(fx.events(spark, SF), index))
+    assert re.search(r"Sort \[\S*x#\d+ ASC NULLS FIRST, \S*y#\d+ ASC", text.replace("knownfloatingpointnormalized(normalizenanandzero(", "")), text
+    assert not re.search(r"Sort \[route#\d+ ASC NULLS FIRST, \S*x#", text.replace("knownfloatingpointnormalized(normalizenanandzero(", ""))
+
+
+def test_stored_segments_are_shuffled_once_for_a_search(spark, tmp_path):
+    store = RouteStore(spark, str(tmp_path / "routes"), buckets=4)
+    store.publish(fx.points(spark, SF))
+    index = store.latest().index()
+    assert len(index.levels) == 1
+    assert plan(index.by_route()).count("Exchange hashpartitioning") == 1
+
+
+def test_coordinates_are_read_once_for_a_feature(spark):
+    documents = spark.createDataFrame([(1, "{}")], "doc_id bigint, document string")
+    found = geojson.events(geojson.valid(geojson.features(documents)), "ROUTEID string", keep=("doc_id",))
+    text = plan(found)
+    assert text.count("ArrayType(DoubleType") == 1
+    # Nor do rows carry the document that they are from.
+    assert not re.search(r"Generate posexplode[^\n]*_doc#", text)
